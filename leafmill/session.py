@@ -58,3 +58,11 @@ def small_or_shuffled(df: DataFrame, row_bytes: int = 64, limit: int = BROADCAST
 def one_per_key(df: DataFrame, key: str) -> DataFrame:
     """One row of each key; rows with a null key can't be told to be repeats and all stay."""
     return df.filter(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(df.filter(F.col(key).isNull()))
+
+
+def drop_redelivered(df: DataFrame, key: str, order: str) -> DataFrame:
+    """``df`` without later deliveries of a key, found from (key, order) alone: only keys delivered more than once meet
+    the rows again, broadcast where they are counted to be few. Deliveries equal in ``order``, too, all stay."""
+    again = df.groupBy(key).agg(F.count("*").alias("_n"), F.min(order).alias("_first")).filter("_n > 1").select(key, "_first")
+    marked = df.join(small_or_shuffled(cut(again), 32), key, "left")
+    return marked.filter(F.col("_first").isNull() | F.coalesce(F.col(order) <= F.col("_first"), F.lit(True))).drop("_first")
