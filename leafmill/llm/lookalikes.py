@@ -48,10 +48,9 @@ for _spelled in list(SPELLINGS.values()):
 def _patterns():
     import regex
 
-    letters = regex.compile(r"[\p{Latin}\p{Cyrillic}\p{Greek}\p{M}]+")
     hidden = regex.compile(rf"(?<!{JOINING})[‌‍]|­(?!\n)|[\p{{Default_Ignorable_Code_Point}}--[­‌‍]]", regex.V1)
     scripts = [(s, regex.compile(rf"\p{{{s}}}")) for s in SCRIPTS]
-    return letters, hidden, scripts
+    return scripts, hidden, regex.compile(r"\p{Default_Ignorable_Code_Point}")
 
 
 @lru_cache(1 << 16)
@@ -59,10 +58,9 @@ def _spellings(letter: str) -> dict[str, str]:
     """By script, the letters that look like this one; a mark fits any script."""
     if letter in SPELLINGS:
         return SPELLINGS[letter]
-    return {s: letter for s, p in _patterns()[2] if p.match(letter)}
+    return {s: letter for s, p in _patterns()[0] if p.match(letter)}
 
 
-@lru_cache(1 << 16)
 def _plain(c: str) -> str:
     """The plain form of one character of a decomposed text."""
     if c in HYPHENS or c == "­":
@@ -77,16 +75,22 @@ def _plain(c: str) -> str:
     return c
 
 
+@lru_cache(1)
+def _votes():
+    """By script: a pattern of its letters that no other script spells alike, one of tokens with a letter of another."""
+    import regex
+
+    shared = "".join(sorted(SPELLINGS))
+    own = {s: regex.compile(rf"[\p{{{s}}}--[{shared}]]", regex.V1) for s in SCRIPTS}
+    letter = r"[\p{Latin}\p{Cyrillic}\p{Greek}\p{M}]*"
+    foreign = {s: regex.compile(letter + "[" + "".join(rf"\p{{{o}}}" for o in SCRIPTS if o != s) + "]" + letter) for s in SCRIPTS}
+    return own, foreign
+
+
 def resolve_scripts(text: str) -> str:
     """A decomposed text with each token in its consistent script spelling."""
-    letters = _patterns()[0]
-    tokens = letters.findall(text)
-    votes: Counter[str] = Counter()
-    for token in tokens:
-        for c in token:
-            s = _spellings(c)
-            if len(s) == 1:
-                votes.update(s.keys())
+    own, foreign = _votes()
+    votes = {s: len(p.findall(text)) for s, p in own.items()}
     order = {s: (-votes[s], n) for n, s in enumerate(SCRIPTS)}
 
     def respell(match) -> str:
@@ -96,18 +100,53 @@ def resolve_scripts(text: str) -> str:
         if common:
             script = min(common, key=order.get)
         else:
-            own = Counter(next(iter(s)) for s in sets if len(s) == 1)
-            script = min(own, key=lambda s: (-own[s], SCRIPTS.index(s)))
+            alone = Counter(next(iter(s)) for s in sets if len(s) == 1)
+            script = min(alone, key=lambda s: (-alone[s], SCRIPTS.index(s)))
         return "".join(s.get(script, c) for s, c in zip(sets, token))
 
-    return letters.sub(respell, text)
+    # A token wholly in the text's main script is consistent already.
+    return foreign[min(SCRIPTS, key=order.get)].sub(respell, text)
+
+
+class _Plain(dict):
+    def __missing__(self, point: int) -> str:
+        self[point] = out = _plain(chr(point))
+        return out
+
+
+_PLAIN = _Plain()
+
+
+@lru_cache(1)
+def _touched():
+    """A pattern of the characters that can make a text differ from its one form: all but ASCII and those that are
+    their own plain form. Greek and Cyrillic always count, since they bear on how ambiguous letters are resolved."""
+    import regex
+
+    voters = regex.compile(r"[\p{Cyrillic}\p{Greek}\p{M}\p{Default_Ignorable_Code_Point}\p{Cn}\p{Co}]")
+    own = lambda c: unicodedata.normalize("NFC", "".join(map(_plain, unicodedata.normalize("NFD", c)))) == c
+    plain = [n for n in (*range(0x80, 0xD800), *range(0xE000, 0x10000)) if not voters.match(chr(n)) and own(chr(n))]
+    runs, begin = [], None
+    for a, b in zip(plain, [*plain[1:], None]):
+        begin = a if begin is None else begin
+        if b != a + 1:
+            runs.append(f"{chr(begin)}-{chr(a)}")
+            begin = None
+    return regex.compile(rf"[^\x00-\x7F{''.join(runs)}]")
 
 
 def canonical(text: str) -> str:
     """The one form of all texts that look like ``text``."""
-    hidden = _patterns()[1]
-    text = hidden.sub("", unicodedata.normalize("NFD", text))
-    text = "".join(map(_plain, text))
+    return resolve(text) if _touched().search(text) else text
+
+
+def resolve(text: str) -> str:
+    """``canonical`` without its shortcut."""
+    hidden, some = _patterns()[1:]
+    text = unicodedata.normalize("NFD", text)
+    if some.search(text):
+        text = hidden.sub("", text)
+    text = text.translate(_PLAIN)
     return unicodedata.normalize("NFC", resolve_scripts(unicodedata.normalize("NFD", text)))
 
 
