@@ -1,7 +1,8 @@
 """All core queries and their SQL."""
 
-from leafmill.plans import flatten_queries
+from leafmill.plans import flatten_queries, metric_queries
 
+_MODULES = [flatten_queries, metric_queries]
 FLAGSHIP = "p4_found"
-QUERIES = {**flatten_queries.QUERIES}
-ORACLE = {**flatten_queries.ORACLE}
+QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLE = {k: v for m in _MODULES for k, v in m.ORACLE.items()}
