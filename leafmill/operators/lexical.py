@@ -59,8 +59,8 @@ def rank(docs: DataFrame, query: str, k: int, key: list[str], text: str = "text"
     """The k best documents of a query with their rank. A scope leaves the corpus statistics as they are."""
     s = scores(docs, query, key, text)
     s = s.filter(scope) if scope is not None else s
-    top = s.orderBy(F.desc("score"), "first_term", *key).limit(k)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "first_term", *key)))  # k rows
+    order = [F.desc(F.round("score", 9)), "first_term", *key]  # sums of another order don't make other ranks
+    return s.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # k rows
 
 
 def rank_many(postings: DataFrame, lengths: DataFrame, queries: DataFrame, k: int) -> DataFrame:

@@ -173,19 +173,23 @@ ch AS (SELECT runner, paper_id, coalesce(n, 0)::INT AS chunks, median_chars, p10
     count(*) FILTER (WHERE k.chars < 100) AS o, count(*) FILTER (WHERE lower(k.text[1:1]) = k.text[1:1] AND upper(k.text[1:1]) <> k.text[1:1]) AS m,
     count(*) FILTER (WHERE len(list_filter(heads, lambda h: h > list_min(k.block_ids) AND h < list_max(k.block_ids))) > 0) AS s FROM ck GROUP BY ALL) USING (runner, paper_id))"""
 _NAMES = ", ".join(f"'{n}'" for n in SECTION_NAMES)
-_CLASSIFY = rf"""
-SELECT kind, CASE WHEN t = '' THEN 'other' WHEN regexp_matches(t, '(?i)^(figure|fig\.?|table|scheme|plate)[\s\p{{Z}}]*\p{{Nd}}') THEN 'caption'
-  WHEN lower(bare) IN ({_NAMES}) OR (num AND nw <= 8 AND NOT bare LIKE '%.') OR (nw <= 6 AND bare = upper(bare) AND lower(bare) <> bare AND length(bare) > 2) THEN 'section_header' ELSE 'paragraph' END AS by_text, count(*) AS n
+
+
+def classified(source: str) -> str:
+    """``source`` (with a text column) with its text trimmed as t and the kind its text says as by_text."""
+    return rf"""(SELECT *, CASE WHEN t = '' THEN 'other' WHEN regexp_matches(t, '(?i)^(figure|fig\.?|table|scheme|plate)[\s\p{{Z}}]*\p{{Nd}}') THEN 'caption'
+  WHEN lower(bare) IN ({_NAMES}) OR (num AND nw <= 8 AND NOT bare LIKE '%.') OR (nw <= 6 AND bare = upper(bare) AND lower(bare) <> bare AND length(bare) > 2) THEN 'section_header' ELSE 'paragraph' END AS by_text
 FROM (SELECT *, len(list_filter(regexp_split_to_array(bare, '[\s\p{{Z}}]+'), lambda w: w <> '')) AS nw FROM (
   SELECT *, regexp_replace(regexp_replace(CASE WHEN num THEN rest ELSE t END, '[:.]+$', ''), '[\s\p{{Z}}]+$', '') AS bare FROM (
-    SELECT *, rest <> '' AS num FROM (SELECT kind, t, regexp_extract(t, '^(\p{{Nd}}+(?:\.\p{{Nd}}+)*)[.)]?[\s\p{{Z}}]+([A-Za-z](?s:.*))$', 2) AS rest FROM (
-      SELECT b.kind AS kind, regexp_replace(coalesce(b.text, ''), '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g') AS t FROM bl WHERE b.kind <> 'table'))))) GROUP BY ALL"""
+    SELECT *, rest <> '' AS num FROM (SELECT *, regexp_extract(t, '^(\p{{Nd}}+(?:\.\p{{Nd}}+)*)[.)]?[\s\p{{Z}}]+([A-Za-z](?s:.*))$', 2) AS rest FROM (
+      SELECT *, regexp_replace(coalesce(text, ''), '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g') AS t FROM {source}))))))"""
+
 
 ORACLE = {
     "current_records": CURRENT + " SELECT record_id, runner, paper_id, runner_version FROM cur",
     "first_deliveries": CURRENT + " SELECT record_id, paper_id, runner, loaded_at FROM d",
     "parse_number": PARSED + " SELECT DISTINCT text, value FROM pn",
-    "classify_lines": BLOCKS + _CLASSIFY,
+    "classify_lines": BLOCKS + f""" SELECT kind, by_text, count(*) AS n FROM {classified("(SELECT b.kind AS kind, b.text AS text FROM bl WHERE b.kind <> 'table')")} GROUP BY ALL""",
     "chars_per_page": CHARS + " SELECT * FROM cp",
     "page_text": PAGE_TEXT + " SELECT * FROM pt",
     "page_coverage": RATIO + " SELECT * FROM ra",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from leafmill.functions.text import page_stem, sentences
 from leafmill.operators import manifest as MF, records as R, rollup, structure as S
-from leafmill.plans.metric_queries import AGREE, BLOCKS, CURRENT, GUTTER, HEALTH, ORDERED, PAGE_TEXT, PARSED, RATIO, STRUCTURE, TABLES
+from leafmill.plans.metric_queries import AGREE, BLOCKS, CURRENT, GUTTER, HEALTH, ORDERED, PAGE_TEXT, PARSED, RATIO, STRUCTURE, TABLES, classified
 from leafmill.session import table
 
 
@@ -46,7 +46,7 @@ def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def group_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.group_lines(text_lines(spark, sf_dir), ["doc_id"]).drop("kind")
+    return S.group_lines(text_lines(spark, sf_dir), ["doc_id"])
 
 
 def words_to_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,6 +146,16 @@ fo AS (SELECT record_id, n, sec, length(s) AS used, 0 AS chunk FROM sn WHERE n =
     f.chunk + (s.sec <> f.sec OR f.used + length(s.s) + 1 > 1200)::INT FROM fo f JOIN sn s ON s.record_id = f.record_id AND s.n = f.n + 1)
 SELECT record_id, chunk AS id, string_agg(s, ' ' ORDER BY n) AS text, list(DISTINCT o ORDER BY o) AS block_ids, any_value(section) AS section, length(string_agg(s, ' ' ORDER BY n))::INT AS chars
 FROM fo JOIN sn USING (record_id, n) GROUP BY record_id, chunk""",
+    "group_lines": f"""
+WITH l AS (SELECT doc_id, unnest(p) AS text, unnest(range(len(p))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents WHERE text IS NOT NULL)),
+m AS (SELECT *, (i // 40 + 1)::INT AS page, (10 + (i % 40) * 14 + CASE WHEN i % 7 = 0 THEN 9 ELSE 0 END)::DOUBLE AS y FROM l),
+b AS (SELECT *, CASE WHEN i % 11 <> 5 THEN [doc_id % 3 * 10, y, doc_id % 3 * 10 + least(length(text) * 5, 500), y + 10]::DOUBLE[] END AS bbox FROM m),
+k AS (SELECT doc_id, page, i, t, bbox, by_text FROM {classified("b")} WHERE t <> ''),
+g AS (SELECT *, coalesce(1.6 * quantile_cont(bbox[4] - bbox[2], 0.5) OVER (PARTITION BY doc_id, page), 10.0) AS lim, coalesce(bbox[2] - lag(bbox[4]) OVER w, 0) AS gap, lag(i) OVER w IS NULL AS top, by_text <> 'paragraph' OR lag(by_text) OVER w <> 'paragraph' AS br FROM k WINDOW w AS (PARTITION BY doc_id, page ORDER BY i)),
+n AS (SELECT *, sum((top OR gap > lim OR br)::INT) OVER (PARTITION BY doc_id, page ORDER BY i ROWS UNBOUNDED PRECEDING) - 1 AS block FROM g),
+j AS (SELECT doc_id, page, block, list_reduce(list(t ORDER BY i), lambda a, x: CASE WHEN a LIKE '%-' THEN left(a, length(a) - 1) || x ELSE a || ' ' || x END) AS text,
+  CASE WHEN count(bbox) > 0 THEN [min(bbox[1]), min(bbox[2]), max(bbox[3]), max(bbox[4])] END AS bbox FROM n GROUP BY ALL)
+SELECT doc_id, page, block, by_text AS kind, text, bbox FROM {classified("j")}""",
     "words_to_lines": """
 WITH w AS (SELECT doc_id, unnest(t) AS text, unnest(range(len(t))) AS seq FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \\n]+'), lambda x: x <> '') AS t FROM documents WHERE text IS NOT NULL)),
 p AS (SELECT doc_id, (seq // 200 + 1)::INT AS page, seq, ((seq * 37) % 10 * 50)::DOUBLE AS x0, ((seq % 200) // 10 * 12 + seq % 3)::DOUBLE AS top, text, length(text) * 5.0 AS n FROM w),
