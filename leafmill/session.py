@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import atexit
 import tempfile
 import uuid
 
@@ -31,23 +31,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a local one only where the setting is missing."""
+    """This application's folder below the one all executors share (spark.checkpoint.dir); a local one only where the
+    setting is missing. It is removed when the driver's Python ends."""
     sc = spark.sparkContext
-    where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not where:
-        where = "file://" + os.path.join(tempfile.gettempdir(), f"leafmill-{os.getpid()}")
-        spark.conf.set("spark.checkpoint.dir", where)
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(where)
-    return where
+    app = sc.applicationId
+    if app not in _OWN:
+        where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        where = where or "file://" + tempfile.mkdtemp(prefix="leafmill-")
+        if sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(where)
+        _OWN[app] = f"{where.rstrip('/')}/leafmill-{app}-{uuid.uuid4().hex[:8]}"
+        atexit.register(_remove, spark, _OWN[app])
+    return _OWN[app]
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the session is gone; what is left is in the shared folder
+        pass
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back, so that later uses don't compute it again."""
     path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def small_or_shuffled(df: DataFrame, row_bytes: int = 64, limit: int = BROADCAST_BYTES) -> DataFrame:

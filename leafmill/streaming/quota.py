@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-PER_DAY, PER_VISITOR, TTL_HOURS = 15, 3, 48
+PER_DAY, PER_VISITOR, TTL_HOURS, LATE = 15, 3, 48, "14 days"
 DECISION = "request_id bigint, day string, visitor string, at timestamp, decision string"
 
 
@@ -26,9 +26,10 @@ def decide(requests: DataFrame, per_day: int = PER_DAY, per_visitor: int = PER_V
     return r.withColumn("decision", decision).drop("nth")
 
 
-def decide_stream(requests: DataFrame, per_day: int = PER_DAY, per_visitor: int = PER_VISITOR) -> DataFrame:
+def decide_stream(requests: DataFrame, per_day: int = PER_DAY, per_visitor: int = PER_VISITOR, late: str = LATE) -> DataFrame:
     """The same over a stream, in order of arrival: the state of a day is its count and its visitors' counts, and goes 48
-    hours after the day's last request. One key for each day makes the day's cap exact."""
+    hours after the day's last request once nothing later than ``late`` is expected any more. One key for each day makes
+    the day's cap exact."""
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -46,7 +47,8 @@ def decide_stream(requests: DataFrame, per_day: int = PER_DAY, per_visitor: int
                 total, visitors[v] = total + 1, visitors.get(v, 0) + 1
                 out.append("allowed")
         state.update((total, json.dumps(visitors)))
-        state.setTimeoutDuration(TTL_HOURS * 3_600_000)
+        last = int(rows["at"].max().timestamp() * 1000) + TTL_HOURS * 3_600_000
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs() + 1))
         yield rows.assign(decision=out, day=key[0])[["request_id", "day", "visitor", "at", "decision"]]
 
-    return requests.groupBy("day").applyInPandasWithState(step, DECISION, "total bigint, visitors string", "append", "ProcessingTimeTimeout")
+    return requests.withWatermark("at", late).groupBy("day").applyInPandasWithState(step, DECISION, "total bigint, visitors string", "append", "EventTimeTimeout")
