@@ -77,7 +77,15 @@ def one_per_key(df: DataFrame, key: str) -> DataFrame:
 
 def drop_redelivered(df: DataFrame, key: str, order: str) -> DataFrame:
     """``df`` without later deliveries of a key, found from (key, order) alone: only keys delivered more than once meet
-    the rows again, broadcast where they are counted to be few. Deliveries equal in ``order``, too, all stay."""
-    again = df.groupBy(key).agg(F.count("*").alias("_n"), F.min(order).alias("_first")).filter("_n > 1").select(key, "_first")
-    marked = df.join(small_or_shuffled(cut(again), 32), key, "left")
-    return marked.filter(F.col("_first").isNull() | F.coalesce(F.col(order) <= F.col("_first"), F.lit(True))).drop("_first")
+    the rows again, broadcast where they are counted to be few. Of deliveries equal in ``order``, too, one stays; only
+    their rows are shuffled, if there are any. Rows with a null key all stay."""
+    each = df.groupBy(key, order).agg(F.count("*").alias("_c")).filter(F.col(key).isNotNull())
+    again = each.groupBy(key).agg(F.sum("_c").alias("_n"), F.min(order).alias("_first"), F.min_by("_c", order).alias("_ties"))
+    again = cut(again.filter("_n > 1").select(key, "_first", (F.coalesce("_ties", F.lit(2)) > 1).alias("_tied")))
+    marked = df.join(small_or_shuffled(again, 32), key, "left")
+    marked = marked.filter(F.col("_first").isNull() | F.coalesce(F.col(order) <= F.col("_first"), F.lit(False)))
+    tied = F.coalesce("_tied", F.lit(False))
+    if again.filter("_tied").head(1):
+        one = marked.filter(tied).dropDuplicates([key])
+        marked = marked.filter(~tied).unionByName(one)
+    return marked.drop("_first", "_tied")
