@@ -102,7 +102,8 @@ def resolve_scripts(text: str) -> str:
         else:
             alone = Counter(next(iter(s)) for s in sets if len(s) == 1)
             script = min(alone, key=lambda s: (-alone[s], SCRIPTS.index(s)))
-        return "".join(s.get(script, c) for s, c in zip(sets, token))
+        # A letter that the token's script can't spell takes the text's main one of its own.
+        return "".join(s.get(script) or s[min(s, key=order.get)] if s else c for s, c in zip(sets, token))
 
     # A token wholly in the text's main script is consistent already.
     return foreign[min(SCRIPTS, key=order.get)].sub(respell, text)

@@ -48,7 +48,7 @@ def chunk_lines(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     begins = np.cumsum(lengths) - lengths
     value = _mix(chars + np.uint64(0x9E3779B97F4A7C15))
     gear = np.zeros(len(chars), np.uint64)
-    for back in range(WINDOW):
+    for back in range(min(WINDOW, len(chars))):
         gear[back:] += value[: len(value) - back] << np.uint64(back)
     at_cut = (_mix(gear) & np.uint64((1 << CUT_BITS) - 1)) == 0
     at_cut &= np.arange(len(chars)) - np.repeat(begins, lengths) >= WINDOW - 1  # the window lies within the line
@@ -114,8 +114,9 @@ def repeated_lines(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     lines = cut(line_table(records))
     chunks = lines.select("site", F.explode("chunks").alias("chunk"), "paper")
     often = small_or_shuffled(cut(_excessive(chunks, ["chunk"], papers).drop("papers")))
-    parts = lines.select("record_id", "block_order", "line_no", "site", "paper", "key", "key2", F.size("chunks").alias("n"), F.explode(F.array_distinct("chunks")).alias("chunk"), F.size(F.array_distinct("chunks")).alias("d"))
-    hit = parts.join(often, ["site", "chunk"]).groupBy("site", "key", "key2", "paper", "d", "record_id", "block_order", "line_no").agg(F.count("*").alias("hits"))
+    parts = lines.select("record_id", "block_order", "line_no", "site", "paper", "key", "key2", F.explode(F.array_distinct("chunks")).alias("chunk"), F.size(F.array_distinct("chunks")).alias("d"))
+    # Distinct, or the lines of a record delivered twice would seem to have twice their chunks.
+    hit = parts.join(often, ["site", "chunk"]).distinct().groupBy("site", "key", "key2", "paper", "d", "record_id", "block_order", "line_no").agg(F.count("*").alias("hits"))
     whole = hit.filter("hits = d").select("site", "key", "key2", "paper")
     return lines, cut(_excessive(whole, ["key", "key2"], papers))
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from leafmill.llm.boosting import Boosted
-from leafmill.session import cut, drop_redelivered, small_or_shuffled
+from leafmill.session import cut, drop_redelivered, one_per_key, small_or_shuffled
 
 #: Labelled rows the ending model sees at most.
 SAMPLE_ROWS = 60_000
@@ -304,8 +304,8 @@ def _train(sample: DataFrame) -> Boosted | None:
 def shares(records: DataFrame) -> DataFrame:
     """(source, blocks, cut_blocks, cut_share): how often each source truncates its paragraphs and captions."""
     found = cut_blocks(records).groupBy("source").agg(F.count("*").alias("cut_blocks"))
-    blocks = drop_redelivered(records.select("record_id", "source", "blocks", "loaded_at"), "record_id", "loaded_at")
     n = F.size(F.filter("blocks", lambda b: b["kind"].isin("paragraph", "caption") & (F.trim(b["text"]) != "")))
-    total = blocks.groupBy(F.coalesce("source", F.lit("")).alias("source")).agg(F.sum(F.greatest(n, F.lit(0))).alias("blocks"))
+    each = one_per_key(records.select("record_id", F.coalesce("source", F.lit("")).alias("source"), F.greatest(n, F.lit(0)).alias("n")), "record_id")
+    total = each.groupBy("source").agg(F.sum("n").alias("blocks"))
     out = total.join(found, "source", "left").na.fill(0, ["cut_blocks"])
     return out.select(F.when(F.col("source") != "", F.col("source")).alias("source"), "blocks", "cut_blocks", F.try_divide(F.col("cut_blocks"), F.col("blocks")).alias("cut_share"))
