@@ -63,9 +63,14 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"(?U)(?<=[.!?])\s+"), strip), lambda s: s != "")
 
 
+def level(text: Column) -> Column:
+    """Lower case, with runs of other than a-z and 0-9 as one space."""
+    return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
+
+
 def grams(text: Column, size: int = 3) -> Column:
     """The set of ``size``-character substrings of the text in lower case, with other than a-z0-9 levelled to one space."""
-    t = F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
+    t = level(text)
     return F.array_distinct(F.regexp_extract_all(t, F.lit(f"(?=(.{{{size}}}))"), F.lit(1)))
 
 

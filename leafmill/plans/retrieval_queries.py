@@ -65,10 +65,10 @@ def bm25_index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bm25_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best documents for the questions of every 20th request."""
-    postings, lengths = L.index(table(spark, sf_dir, "documents").filter("text IS NOT NULL"), key="doc_id")
+    docs = table(spark, sf_dir, "documents").filter("text IS NOT NULL")
     q = table(spark, sf_dir, "ask_requests").filter((F.col("request_id") % QUERY_STEP == 0) & F.col("question").isNotNull())
     q = q.select(F.col("request_id").alias("query_id"), F.col("question").alias("text")).distinct()
-    return L.rank_many(postings, lengths, q, 3).select("query_id", "rank", "doc", F.round("score", 9).alias("score"))
+    return L.rank_batches(docs, q, 3).select("query_id", "rank", "doc", F.round("score", 9).alias("score"))
 
 
 def scope_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -167,6 +167,28 @@ def test_bm25_against_a_loop(spark):
     assert [(r.query_id, r["rank"]) for r in many] == [(7, 1)]
 
 
+def test_batches_rank_like_single_queries(spark, monkeypatch):
+    import random
+
+    r = random.Random(5)
+    docs = [(i, " ".join(r.choice("alpha beta gamma delta eps zeta".split()) for _ in range(r.randint(0, 12)))) for i in range(60)] + [(60, None)]
+    d = spark.createDataFrame(docs, "doc_id BIGINT, text STRING").repartition(3)
+    q = [(7, "alpha beta"), (8, "zeta zeta delta"), (9, "nothing"), (10, "")]
+    want = {(i, x["rank"], x.doc_id, round(x.score, 9)) for i, t in q for x in lexical.rank(d, t, 5, ["doc_id"]).collect()}
+    monkeypatch.setattr(lexical, "BATCH", 2)
+    got = {(x.query_id, x["rank"], x.doc, round(x.score, 9)) for x in lexical.rank_batches(d, spark.createDataFrame(q, "query_id BIGINT, text STRING"), 5).collect()}
+    assert got == want
+    assert lexical.rank_batches(d, spark.createDataFrame(q, "query_id BIGINT, text STRING").limit(0), 5).count() == 0
+    assert lexical.rank_batches(d.limit(0), spark.createDataFrame(q[:1], "query_id BIGINT, text STRING"), 5).count() == 0
+
+
+def test_gram_codes_are_the_grams(spark):
+    texts = ["Hello, World 42!", "ab", "", None, "zzz zzz", "日本 abc"]
+    a = one(spark, lambda c: F.size(X.grams(c)), *texts)
+    b = one(spark, lambda c: F.size(metrics._gram_codes(X.level(c))), *texts)
+    assert [max(x, 0) for x in a] == b
+
+
 def test_scope_keeps_statistics(spark):
     d = spark.createDataFrame([(1, "a1", "apple pear"), (2, "b1", "apple apple")], "doc INT, p STRING, text STRING")
     whole = {r.doc: r.score for r in lexical.rank(d, "apple", 5, ["doc", "p"]).collect()}
