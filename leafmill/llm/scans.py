@@ -149,8 +149,10 @@ def furniture(blocks: DataFrame) -> DataFrame:
         F.coalesce(F.col("follow").rlike(r"^\p{Ll}"), F.lit(False)).alias("next_lower"),
     )
     # A head stands at the edge of several pages of its paper and isn't a line of the whole site.
+    # In capitals it may have been taken for a section header; then it must be several words at a page's edge.
     plain = (F.col("kind") != "section_header") & (F.length("segment") >= 4)
-    proven = (F.col("pages") >= MIN_PAGES) & (F.col("site") < SITE_SHARE) & plain & ~((F.col("kind") == "caption") & F.col("alone"))
+    titled = (F.col("kind") == "section_header") & (F.col("first") | F.col("last")) & (F.col("words") >= 3)
+    proven = (F.col("pages") >= MIN_PAGES) & (F.col("site") < SITE_SHARE) & (plain | titled) & ~((F.col("kind") == "caption") & F.col("alone"))
     proven &= (F.col("kind") == "other") | ~F.col("ended")  # the short last lines of paragraphs recur, too
     text = cut(text.withColumn("proven", proven).drop("title").withColumnRenamed("_title", "title"))
     taught = text.filter("proven").select("paper_id").distinct()
@@ -166,7 +168,7 @@ def furniture(blocks: DataFrame) -> DataFrame:
     head = text.filter("proven").select("record_id", "block_order", "line_no").unionByName(unsure.select("record_id", "block_order", "line_no"))
     # A line that also reads like the proven head of its paper apart from a few misread characters is one, too.
     heads = text.filter("proven").groupBy("paper_id", "norm").agg(F.max("pages").alias("_p")).select("paper_id", F.col("norm").alias("head"))
-    near = text.filter(plain & ~F.col("proven") & (F.col("site") < SITE_SHARE)).join(heads, "paper_id")
+    near = text.filter((F.length("segment") >= 4) & ~F.col("proven") & (F.col("site") < SITE_SHARE)).join(heads, "paper_id")
     near = near.filter(F.levenshtein("norm", "head", 4) >= 0).filter(F.levenshtein("norm", "head") * 5 <= F.length("head"))
     head = head.unionByName(near.select("record_id", "block_order", "line_no"))
     return page_no.unionByName(head.withColumn("noise", F.lit("header"))).distinct()
