@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from leafmill.operators import ask as A, bundle as B, lexical as L, records as R, vectors as V
+from leafmill.operators.search import both_rankings
 from leafmill.plans.metric_queries import CURRENT
 from leafmill.session import table
 from leafmill.streaming.quota import decide
@@ -110,6 +111,14 @@ def compare_rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.compare_rankings(semantic, lexical, "id")
 
 
+def search_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both rankings side by side; documents and vectors of one id stand for each other."""
+    d = table(spark, sf_dir, "documents").select(F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("id"), "text")
+    e = table(spark, sf_dir, "embeddings").select(F.lpad(F.col("vec_id").cast("string"), 12, "0").alias("chunk_id"), "embedding", "vec_id")
+    h = both_rankings(d, QUERY, K, e.drop("vec_id"), e.filter("vec_id = 0"))
+    return h.select("mode", "rank", "chunk_id", F.round("score", 9).alias("score"))
+
+
 def build_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = L.rank(_chunks(spark, sf_dir), QUERY, A.SENT_PASSAGES, ["paper_id", "n"])
     h = h.join(_chunks(spark, sf_dir), ["paper_id", "n"]).select("rank", "paper_id", "section", "text")
@@ -176,7 +185,7 @@ def ask_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     bundle_papers, chunk_regions, papers_chunk_counts, longest_chunk, rect_styles, bm25_topk, bm25_documents, bm25_index_stats, bm25_many,
-    scope_topk, hits, quantize_int8, quantization_error, cosine_topk, cosine_topk_many, compare_rankings, build_prompt, cited_chunk_ids,
+    scope_topk, hits, search_hits, quantize_int8, quantization_error, cosine_topk, cosine_topk_many, compare_rankings, build_prompt, cited_chunk_ids,
     answer_segments, ask_gate, ask_errors, quota_decisions, quota_days, ask_usage,
 )}
 
@@ -239,6 +248,12 @@ SELECT query_id, rank::INT AS rank, doc, score FROM (SELECT *, row_number() OVER
 s AS (SELECT v.vec_id AS id, row_number() OVER (ORDER BY round(list_sum(list_transform(list_zip(v.e, q.e), lambda z: z[1] * z[2])), 12) DESC, v.vec_id) AS rank FROM v, (SELECT e FROM v WHERE vec_id = 0) q QUALIFY rank <= 100),
 l AS (SELECT doc_id AS id, row_number() OVER (ORDER BY round(score, 9) DESC, first_term, doc_id) AS rank FROM sco WHERE score > 0 QUALIFY rank <= 100)
 SELECT count(*) FILTER (WHERE s.id IS NOT NULL AND l.id IS NOT NULL) AS overlap, coalesce(list(s.id ORDER BY s.rank) FILTER (WHERE l.id IS NULL), []) AS only_semantic, coalesce(list(l.id ORDER BY l.rank) FILTER (WHERE s.id IS NULL), []) AS only_lexical FROM s FULL JOIN l ON s.id = l.id""",
+    "search_hits": _COS
+    + _bm25("documents", "doc_id")
+    + """
+SELECT 'lexical' AS mode, row_number() OVER (ORDER BY round(score, 9) DESC, first_term, doc_id)::INT AS rank, lpad(doc_id::VARCHAR, 12, '0') AS chunk_id, round(score, 9) AS score FROM sco WHERE score > 0 QUALIFY rank <= 10
+UNION ALL SELECT 'semantic', row_number() OVER (ORDER BY score DESC, vec_id)::INT AS rank, lpad(vec_id::VARCHAR, 12, '0'), score FROM (
+  SELECT v.vec_id, round(list_sum(list_transform(list_zip(v.e, q.e), lambda z: z[1] * z[2])), 9) AS score FROM v, (SELECT e FROM v WHERE vec_id = 0) q) QUALIFY rank <= 10""",
     "build_prompt": _CHUNKS
     + f""" SELECT '{A.SYSTEM}' AS system, 'Passages:' || chr(10) || chr(10) || string_agg('[' || rank || '] ' || paper_id || ' — ' || coalesce(section, 'no section') || chr(10) || text, chr(10) || chr(10) ORDER BY rank) || chr(10) || chr(10) || 'Question: {QUERY}' AS user
 FROM ({_TOP.format('', A.SENT_PASSAGES)}) JOIN cx USING (paper_id, n)""",

@@ -225,6 +225,23 @@ def test_embed_checks_the_shape(spark):
         V.embed(d, "t", lambda ts: np.zeros((len(ts), 3)), 2).collect()
 
 
+def test_search_and_ask(spark):
+    from leafmill.operators import search as Q
+
+    c = spark.createDataFrame([("p#0", "p", None, "apple pear"), ("q#0", "q", "Results", "apple apple plum"), ("q#1", "q", "Results", "fig")], "id STRING, paper_id STRING, section STRING, text STRING")
+    v = spark.createDataFrame([("p#0", [1.0, 0.0]), ("q#0", [0.0, 1.0]), ("q#1", [0.6, 0.8])], "chunk_id STRING, embedding ARRAY<FLOAT>")
+    assert [r.chunk_id for r in Q.search(c, "apple", "lexical").orderBy("rank").collect()] == ["q#0", "p#0"]
+    assert [r.chunk_id for r in Q.search(c, "x", "semantic", 2, v, v.limit(1)).orderBy("rank").collect()] == ["p#0", "q#1"]
+    assert Q.search(c, "  ", "semantic").count() == 0
+    for bad in ("semantic", "both"):
+        with pytest.raises(ValueError):
+            Q.search(c, "x", bad)
+    passages, messages = Q.ask_prompt(c, "apple", "p")
+    assert [p.chunk_id for p in passages.collect()] == ["p#0"] and "[1] p — no section\napple pear" in messages.head().user
+    assert Q.ask_prompt(c, "zebra")[1].count() == 0
+    assert spark.range(1).select(Q.url_path(F.lit("a b"), F.lit("c"))).head()[0] == "a%20b/c"
+
+
 def test_compare_rankings(spark):
     mk = lambda ids: spark.createDataFrame([(i, n + 1) for n, i in enumerate(ids)], "id INT, rank INT")
     assert tuple(V.compare_rankings(mk([3, 1, 2]), mk([9, 1]), "id").head()) == (1, [3, 2], [9])
