@@ -199,7 +199,7 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, bloc
 def report(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     """(source, target_share, max_repeats, mix_tokens, actual_share, most_repeats) of a mix, one row for each target."""
     t = clean_targets(targets)
-    each = mixed.groupBy("source").agg(F.sum(F.size("ids")).alias("mix_tokens"), (F.max("repeat") + 1).alias("most_repeats"))
+    each = cut(mixed.groupBy("source").agg(F.sum(F.size("ids")).alias("mix_tokens"), (F.max("repeat") + 1).alias("most_repeats")))
     all_ = each.agg(F.sum("mix_tokens").alias("all_tokens"))
     out = t.join(each, "source", "left").crossJoin(F.broadcast(all_))  # one row
     return out.select("source", "target_share", "max_repeats", F.coalesce("mix_tokens", F.lit(0)).alias("mix_tokens"), F.coalesce(F.try_divide("mix_tokens", "all_tokens"), F.lit(0.0)).alias("actual_share"), F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"))
