@@ -41,6 +41,8 @@ MIN_PAGES, SITE_SHARE, SITE_PAPERS = 2, 0.1, 3
 
 MARKS = "-‐¬­"
 SPLIT = rf"(\S*[^\s{MARKS}])([{MARKS}])([\n ])(?=(\S+))"
+#: A word with a mark before white space, and the next word; tried from the beginnings of words only.
+BROKEN = rf"(?<!\S)\S*[^\s{MARKS}][{MARKS}][\n ]\S+"
 EDGES = r"""^[(\[{“„"'«‘¿¡]+|[.,;:)\]}?!”“"'’»]+$"""
 NUMBER = r"^(?:\p{L}{1,10}\.?\s*)?[\[(–—-]*\s*(\d{1,5})(?:\s*/\s*\d{1,5})?\s*[\])–—-]*$"
 
@@ -308,7 +310,7 @@ JOIN_FEATURES = ["log_whole", "log_left", "log_right", "log_compound", "log_hang
 
 def splits(prose: DataFrame) -> DataFrame:
     """Every place where a mark stands between two halves: (record_id, paper_id, page, block_order, left, mark, gap, right)."""
-    found = F.transform(F.regexp_extract_all("text", F.lit(rf"\S*[^\s{MARKS}][{MARKS}][\n ]\S+"), F.lit(0)), lambda m: F.struct(F.regexp_extract(m, SPLIT, 1).alias("left"), F.regexp_extract(m, SPLIT, 2).alias("mark"), F.regexp_extract(m, SPLIT, 3).alias("gap"), F.regexp_extract(m, SPLIT, 4).alias("right")))
+    found = F.transform(F.regexp_extract_all("text", F.lit(BROKEN), F.lit(0)), lambda m: F.struct(F.regexp_extract(m, SPLIT, 1).alias("left"), F.regexp_extract(m, SPLIT, 2).alias("mark"), F.regexp_extract(m, SPLIT, 3).alias("gap"), F.regexp_extract(m, SPLIT, 4).alias("right")))
     s = prose.select("record_id", "paper_id", "page", "block_order", F.inline(found))
     last = lambda a: F.coalesce(F.element_at(F.split(a, "[-‐‑/]"), -1), F.lit(""))
     return s.withColumn("l", last(bare(F.col("left")))).withColumn("r", F.coalesce(F.get(F.split(bare(F.regexp_replace("right", rf"[{MARKS}]+$", "")), "[-‐‑/]"), F.lit(0)), F.lit("")))
@@ -379,7 +381,7 @@ def analyse(records: DataFrame, manifest: DataFrame) -> dict[str, DataFrame]:
     prose = cut(prose.withColumn("text", F.when(F.col("gone").isNotNull(), kept).otherwise(F.col("text"))).drop("gone", "title"))
 
     broken = cut(splits(prose))
-    rest = prose.withColumn("text", F.regexp_replace("text", rf"\S*[^\s{MARKS}][{MARKS}][\n ]\S+", " "))
+    rest = prose.withColumn("text", F.regexp_replace("text", BROKEN, " "))
     tokens = cut(rest.select("record_id", "block_order", F.explode(raw_words(F.col("text"))).alias("raw")).groupBy("record_id", "block_order", "raw").agg(F.count("*").alias("n")))
     types = cut(tokens.groupBy("raw").agg(F.sum("n").alias("n")))
     said = types.select(F.explode(parts(F.col("raw"))).alias("x"), "n").unionByName(broken.select(F.concat("l", "r").alias("x"), F.lit(1).cast("bigint").alias("n")))
