@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 BROADCAST_BYTES = 64 << 20
 
 
-def build_session(app: str = "leafmill", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
+def build_session(app: str = "leafmill", master: str | None = None, shuffle_partitions: int | None = None, driver_memory: str | None = None) -> SparkSession:
     """A session with UTC time and adaptive execution; cluster settings are left to the cluster."""
     b = (
         SparkSession.builder.appName(app)
@@ -22,6 +22,8 @@ def build_session(app: str = "leafmill", master: str | None = None, shuffle_part
     )
     if master:
         b = b.master(master)
+    if driver_memory:
+        b = b.config("spark.driver.memory", driver_memory)
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return b.getOrCreate()
