@@ -5,6 +5,16 @@ from __future__ import annotations
 import numpy as np
 
 
+def _quantiles(c: np.ndarray, w: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Linear quantiles of values that stand ``w`` times each, as if they were written out."""
+    order = np.argsort(c, kind="stable")
+    v, upto = c[order], np.cumsum(w[order])
+    at = q * (upto[-1] - 1)
+    low = np.floor(at)
+    a, b = (v[np.searchsorted(upto, i, side="right")] for i in (low, np.minimum(low + 1, upto[-1] - 1)))
+    return a + (b - a) * (at - low)
+
+
 class Boosted:
     """Logistic boosting of shallow trees over quantile bins. Trained models are plain arrays and travel in closures."""
 
@@ -13,17 +23,19 @@ class Boosted:
         self.trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.base = 0.0
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> Boosted:
+    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> Boosted:
+        """Learn from rows that stand ``weight`` times each, a whole number; once if none is given."""
         x, y = np.asarray(x, float), np.asarray(y, float)
-        share = (y.sum() + 0.5) / (len(y) + 1)
+        w = np.ones(len(y)) if weight is None else np.asarray(weight, float)
+        share = ((w * y).sum() + 0.5) / (w.sum() + 1)
         self.base = float(np.log(share / (1 - share)))
-        cuts = [np.unique(np.quantile(c, np.linspace(0, 1, self.bins + 1)[1:-1])) for c in x.T]
+        cuts = [np.unique(_quantiles(c, w, np.linspace(0, 1, self.bins + 1)[1:-1])) for c in x.T]
         codes = np.stack([np.searchsorted(c, v, side="left") for c, v in zip(cuts, x.T)], 1)
         score = np.full(len(y), self.base)
         nodes = 2**self.depth - 1
         for _ in range(self.rounds):
             p = 1 / (1 + np.exp(-score))
-            g, h = y - p, np.maximum(p * (1 - p), 1e-9)
+            g, h = w * (y - p), w * np.maximum(p * (1 - p), 1e-9)
             feature, value, out = np.full(nodes, -1), np.zeros(nodes), np.zeros(2 * nodes + 1)
             at = np.zeros(len(y), int)
             for node in range(nodes):
@@ -39,9 +51,9 @@ class Boosted:
                     k = codes[rows, f]
                     gl = np.cumsum(np.bincount(k, g[rows], len(c) + 1))[:-1]
                     hl = np.cumsum(np.bincount(k, h[rows], len(c) + 1))[:-1]
-                    n = np.cumsum(np.bincount(k, minlength=len(c) + 1))[:-1]
+                    n = np.cumsum(np.bincount(k, w[rows], len(c) + 1))[:-1]
                     gain = gl**2 / (hl + self.smooth) + (gs - gl) ** 2 / (hs - hl + self.smooth) - gain0
-                    gain[(n < self.leaf) | (len(rows) - n < self.leaf)] = -1
+                    gain[(n < self.leaf) | (w[rows].sum() - n < self.leaf)] = -1
                     b = int(gain.argmax())
                     if gain[b] > best[0]:
                         best = (gain[b], f, b)

@@ -180,18 +180,19 @@ def furniture(blocks: DataFrame) -> DataFrame:
 
 
 def train(sample: DataFrame) -> Boosted | None:
-    """A model of the column ``label`` from at most SAMPLE_ROWS rows, those with the smallest hashes."""
+    """A model of the column ``label``. Rows of equal features and label are one row that weighs as many, so that all rows
+    are seen; where more than SAMPLE_ROWS are left, about so many rows are drawn, each copy of equal ones by itself."""
     names = [c for c in sample.columns if c != "label"]
-    s = cut(sample.withColumn("_h", F.xxhash64(*names, "label")))
-    n = s.count()
-    if n > 2 * SAMPLE_ROWS:
-        # Every task sends its smallest rows to be merged: only hashes that can be among the smallest are left to send.
-        low = s.filter(F.col("_h") < int(-(2**63) + 2**64 * (1.5 * SAMPLE_ROWS / n)))
-        s = low if low.count() >= SAMPLE_ROWS else s
-    rows = s.orderBy("_h").limit(SAMPLE_ROWS).drop("_h").toPandas()
-    if len(rows) < 50 or rows["label"].nunique() < 2:
+    s = cut(sample.groupBy(*names, "label").agg(F.count("*").alias("_n")))
+    if s.count() > SAMPLE_ROWS:
+        total = s.agg(F.sum("_n")).head()[0]
+        copies = s.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n")))).withColumn("_h", F.xxhash64(*names, "label", "_i"))
+        drawn = copies.filter(F.col("_h") < int(-(2**63) + 2**64 * (SAMPLE_ROWS / total)))
+        s = cut(drawn.groupBy(*names, "label").agg(F.count("*").alias("_n")))
+    rows = s.orderBy(*names, "label").toPandas()
+    if rows["_n"].sum() < 50 or rows["label"].nunique() < 2:
         return None
-    return Boosted().fit(rows[names].to_numpy(float), rows["label"].to_numpy(float))
+    return Boosted().fit(rows[names].to_numpy(float), rows["label"].to_numpy(float), rows["_n"].to_numpy(float))
 
 
 def scorer(model: Boosted):

@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from leafmill.llm import scans
 from leafmill.llm.boosting import Boosted
 from leafmill.llm.scans import noise, paragraphs
 from tests.conftest import block
@@ -81,3 +82,24 @@ def test_boosting_learns_an_interaction():
     y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.3)).astype(float)
     assert ((Boosted().fit(x[:3000], y[:3000]).predict(x[3000:]) > 0.5) == y[3000:]).mean() > 0.95
     assert Boosted(rounds=2).fit(np.zeros((10, 1)), np.r_[np.ones(5), np.zeros(5)]).predict(np.zeros((1, 1)))[0] == pytest.approx(0.5)
+
+
+def test_equal_rows_are_taught_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(scans, "SAMPLE_ROWS", 200)
+    many = [(1, 0.0)] * 900 + [(0, 0.0)] * 300 + [(1, 1.0)] * 200 + [(0, 1.0)] * 600
+    model = scans.train(spark.createDataFrame(many, "label int, a float"))
+    assert model.predict([[0.0], [1.0]]) == pytest.approx([0.75, 0.25], abs=0.01)
+
+
+def test_copies_of_a_row_are_drawn_one_by_one(spark, monkeypatch):
+    monkeypatch.setattr(scans, "SAMPLE_ROWS", 1000)
+    rows = [(1, 0.0, -1.0)] * 2400 + [(0, 0.0, -1.0)] * 800 + [(int(i % 4 == 0), 1.0, float(i)) for i in range(2000)]
+    model = scans.train(spark.createDataFrame(rows, "label int, a float, b float"))
+    assert model.predict([[0.0, -1.0]])[0] == pytest.approx(0.75, abs=0.08)
+
+
+def test_weights_are_copies():
+    r = random.Random(5)
+    x, y, w = [[r.random(), float(r.randrange(3))] for _ in range(80)], [r.randrange(2) for _ in range(80)], [r.randrange(1, 5) for _ in range(80)]
+    rows = [i for i, n in enumerate(w) for _ in range(n)]
+    assert Boosted().fit(x, y, w).predict(x) == pytest.approx(Boosted().fit([x[i] for i in rows], [y[i] for i in rows]).predict(x))
