@@ -8,7 +8,8 @@ that length is censored; candidate limits are lengths at which open-ended texts
 The posterior is combined with evidence of the ending by boosted trees: end marks, marks of a cut, whether the text runs on
 in the next page's first paragraph, and, for captions, which may lack a full stop, how often their last words end captions
 or begin longer words. Labels come from the corpus: another record of the paper may hold the same block with more text.
-Where it does, and the text goes on in the line, the block is cut, whatever the model says.
+Where it does, and the text goes on in the line, the block is cut, whatever the model says; a block with a proper end
+only if none of its record's later blocks begins with what follows there.
 
 Defined cases: null and empty texts can't be cut; a null source is a source of its own; redelivered records count once.
 """
@@ -31,6 +32,8 @@ SAMPLE_ROWS = 60_000
 PILE_Z, REACH = 6.0, 3
 #: Letters that two records' blocks must share from their beginning on to be the same block.
 SAME_START = 40
+#: Letters of what follows in another record that are looked for in the record's own later blocks.
+NEXT = 24
 #: A last line in so many papers and so large a share of its source's is the site's, not the block's.
 SITE_PAPERS, SITE_SHARE = 3, 0.1
 
@@ -181,15 +184,15 @@ def _caption_words(captions: DataFrame) -> tuple[DataFrame, DataFrame]:
 FEATURES = ["paragraph", "marked", "posterior", "leaves", "next_lower", "next_upper", "ascii_end", "letter_end", "log_word", "log_longer", "word_ends", "pair_ends", "log_pair", "lined"]
 
 
-@F.arrow_udf(T.BooleanType())
+@F.arrow_udf(T.StringType())
 def _goes_on(mine: pa.Array, others: pa.Array) -> pa.Array:
-    """Whether another text holds this one's letters and goes on after them in the same line."""
+    """The next letters of another text that holds this one's and goes on after them in the same line, or null."""
     import re
 
     strip = re.compile(r"[\W_]+").sub
     out = []
     for a, group in zip(mine.to_pylist(), others.to_pylist()):
-        letters, yes = strip("", re.sub(r"(…|\.\.\.|�|\[…\])\s*$", "", a)).lower(), False
+        letters, yes = strip("", re.sub(r"(…|\.\.\.|�|\[…\])\s*$", "", a)).lower(), None
         for b in group or []:
             at, k = 0, 0
             low = b.lower()
@@ -201,10 +204,21 @@ def _goes_on(mine: pa.Array, others: pa.Array) -> pa.Array:
                 at += 1
             rest = re.match(r"([-‐¬­]\n|[^\w\n])*\w", low[at:])
             if k == len(letters) and rest:
-                yes = True
+                yes = strip("", low[at:])[:NEXT]
                 break
         out.append(yes)
-    return pa.array(out, pa.bool_())
+    return pa.array(out, pa.string())
+
+
+def _nowhere_later(proofs: DataFrame, records: DataFrame) -> DataFrame:
+    """Proofs (record_id, block_order, rest) whose rest, a few misread letters aside, begins no later block of the record."""
+    ids = small_or_shuffled(cut(proofs.select("record_id").distinct()), 16)
+    later = records.join(ids, "record_id", "left_semi").select("record_id", F.inline("blocks"))
+    later = later.select("record_id", F.col("order").alias("at"), F.lower(F.substring(_letters(F.col("text")), 1, NEXT)).alias("begin"))
+    n = F.least(F.length("begin"), F.length("rest"))
+    both = F.levenshtein(F.left("begin", n), F.left("rest", n)) * 8 <= n
+    found = proofs.join(later, "record_id").filter((F.col("at") > F.col("block_order")) & (n >= F.least(F.lit(8), F.length("rest"))) & both)
+    return proofs.join(found.select("record_id", "block_order", "rest").distinct(), ["record_id", "block_order", "rest"], "left_anti")
 
 
 def cut_blocks(records: DataFrame) -> DataFrame:
@@ -244,15 +258,19 @@ def cut_blocks(records: DataFrame) -> DataFrame:
 
     # The same block in other records of the paper: first only lengths are compared, texts just where one is longer.
     groups = blocks.groupBy("same").agg(F.max("letters").alias("most"), F.count_distinct("record_id").alias("held"))
-    held = cut(doubtful.select("record_id", "block_order", "same", "letters").join(groups, "same"))
+    every = ["record_id", "block_order", "same", "letters", "ended"]
+    held = cut(doubtful.filter(~F.col("ended")).select(every).unionByName(blocks.filter("ended").select(every)).join(groups, "same"))
     ask = held.filter("most > letters AND held > 1")
     wanted = small_or_shuffled(cut(ask.select("same").distinct()), 16)
     whole = records.select("record_id", "paper_id", F.inline("blocks")).filter(F.col("kind").isin("paragraph", "caption") & (F.trim("text") != ""))
     whole = whole.withColumn("same", F.xxhash64("paper_id", "page", "kind", F.lower(F.substring(_letters(F.col("text")), 1, SAME_START)))).select("record_id", F.col("order").alias("block_order"), "same", "text").join(wanted, "same", "left_semi")
     whole = cut(whole)
     longest = whole.withColumn("l", F.length(_letters(F.col("text")))).groupBy("same").agg(F.max_by("text", F.struct("l", "text")).alias("longest"))
-    extended = whole.join(ask.select("record_id", "block_order", "same"), ["record_id", "block_order", "same"], "left_semi").join(longest, "same")
-    extended = cut(extended.filter(_goes_on("text", F.array("longest"))).select("record_id", "block_order").distinct())
+    extended = whole.join(ask.select("record_id", "block_order", "same", "ended"), ["record_id", "block_order", "same"]).join(longest, "same")
+    proofs = cut(extended.select("record_id", "block_order", "ended", _goes_on("text", F.array("longest")).alias("rest")).filter("rest IS NOT NULL").distinct())
+    # What follows a proper end may stand in the record as a block of its own.
+    lost = _nowhere_later(proofs.filter("ended").drop("ended"), records).select("record_id", "block_order")
+    extended = cut(proofs.filter(~F.col("ended")).select("record_id", "block_order").unionByName(lost).distinct())
 
     captions = blocks.filter("kind = 'caption' AND tail IS NOT NULL")
     captions = captions.join(foreign, ["record_id", "block_order"], "left_anti")
@@ -291,8 +309,10 @@ def cut_blocks(records: DataFrame) -> DataFrame:
         score = scorer(model)(F.array(*[F.col(f"f_{k}") for k in FEATURES]))
     else:
         score = F.when((F.col("kind") == "paragraph") & ~(F.col("leaves") & ~F.col("next_upper")), 0.9).otherwise(F.greatest("posterior", F.col("f_marked").cast("double")))
-    d = d.withColumn("score", F.when(F.col("ended"), F.when(F.coalesce(F.col("as_long"), F.lit(False)), 0.0).otherwise(F.col("posterior"))).when(F.col("longer_text"), 1.0).otherwise(score))
-    return d.filter("score >= 0.5").select("record_id", "block_order", "source", "kind", "score").dropDuplicates(["record_id", "block_order"])
+    d = d.withColumn("score", F.when(F.col("longer_text"), 1.0).when(F.col("ended"), F.when(F.coalesce(F.col("as_long"), F.lit(False)), 0.0).otherwise(F.col("posterior"))).otherwise(score))
+    proven = blocks.filter("ended").join(extended, ["record_id", "block_order"], "left_semi").select("record_id", "block_order", "source", "kind", F.lit(1.0).alias("score"))
+    out = d.filter("score >= 0.5").select("record_id", "block_order", "source", "kind", "score").unionByName(proven)
+    return out.dropDuplicates(["record_id", "block_order"])
 
 
 def _train(sample: DataFrame) -> Boosted | None:

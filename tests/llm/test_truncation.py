@@ -50,3 +50,11 @@ def test_shares_and_empty(records):
     s = {r.source: r for r in shares(records(*rows())).collect()}
     assert set(s) == {None, "limited"} and 0 < s["limited"].cut_share < 0.5 and s[None].blocks == 240
     assert cut_blocks(records(*rows()[:1]).limit(0)).count() == 0
+
+
+def test_proper_ends_are_compared_too(records):
+    whole = "The stirred vessel was warmed slowly and its growth was measured after the change (Eqs. 1.1 and 6.2), so that it held."
+    first, rest = "The second vessel was left without any stirring for the whole of the night.", " Then its growth was measured again with the same device."
+    record = lambda i, *texts: {"record_id": i, "paper_id": "p", "source": "s", "blocks": [block(x, order=n) for n, x in enumerate(texts)]}
+    got = cut_blocks(records(record(1, whole[: whole.index(" 1.1")], first, rest), record(2, whole, first + rest))).collect()
+    assert {(r.record_id, r.block_order) for r in got} == {(1, 0)}
