@@ -7,7 +7,7 @@ that length is censored; candidate limits are lengths at which open-ended texts
 
 The posterior is combined with evidence of the ending by boosted trees: end marks, marks of a cut, whether the text runs on
 in the next page's first paragraph, and, for captions, which may lack a full stop, how often their last words end captions
-or begin longer words. Labels come from the corpus: another record of the paper may hold the same block with more text.
+or begin longer words. Labels come from the corpus: another record of the paper may hold the same block with more text; all its versions are asked.
 Where it does, and the text goes on in the line, the block is cut, whatever the model says; a block with a proper end
 only if none of its record's later blocks begins with what follows there.
 
@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from leafmill.llm.boosting import Boosted
+from leafmill.llm.lookalikes import CYRILLIC, CYRILLIC_AS, GREEK, GREEK_AS
 from leafmill.session import cut, drop_redelivered, one_per_key, small_or_shuffled
 
 #: Labelled rows the ending model sees at most.
@@ -46,6 +47,15 @@ def _letters(text: Column) -> Column:
     return F.regexp_replace(text, r"[^\p{L}\p{N}]+", "")
 
 
+def _look(letters: Column) -> Column:
+    """Small letters in a form that a text's beginning shares with the whole: each look-alike by itself."""
+    return F.lower(F.translate(letters, CYRILLIC + GREEK, CYRILLIC_AS + GREEK_AS))
+
+
+def _same(start: Column) -> Column:
+    return F.xxhash64("paper_id", "page", "kind", start)
+
+
 def prose_blocks(records: DataFrame) -> DataFrame:
     """Paragraphs and captions with their length, ending and what the next page's first paragraph begins with."""
     filled = F.filter("blocks", lambda b: (F.trim(b["text"]) != "") & b["kind"].isin("paragraph", "caption"))
@@ -70,7 +80,7 @@ def prose_blocks(records: DataFrame) -> DataFrame:
         F.octet_length("text").alias("bytes"),
         F.length("text").alias("chars"),
         F.length(letters).alias("letters"),
-        F.xxhash64("paper_id", "page", "kind", F.lower(F.substring(letters, 1, SAME_START))).alias("same"),
+        _look(F.substring(letters, 1, SAME_START)).alias("start"),
         ended.alias("ended"),
         F.col("t").rlike(MARK).alias("marked"),
         F.when(~ended, F.substring("t", -80, 80)).alias("tail"),
@@ -80,7 +90,7 @@ def prose_blocks(records: DataFrame) -> DataFrame:
         F.coalesce(F.col("next_start").rlike(r"^[\p{Ll}\p{Lo}]"), F.lit(False)).alias("next_lower"),
         F.coalesce(F.col("next_start").rlike(r"^\p{Lu}"), F.lit(False)).alias("next_upper"),
     )
-    return b
+    return b.withColumn("same", _same(F.col("start")))
 
 
 # --- lengths ---------------------------------------------------------------------------------------------------------
@@ -190,12 +200,13 @@ def _goes_on(mine: pa.Array, others: pa.Array) -> pa.Array:
     import re
 
     strip = re.compile(r"[\W_]+").sub
+    look = str.maketrans(CYRILLIC + GREEK, CYRILLIC_AS + GREEK_AS)
     out = []
     for a, group in zip(mine.to_pylist(), others.to_pylist()):
-        letters, yes = strip("", re.sub(r"(…|\.\.\.|�|\[…\])\s*$", "", a)).lower(), None
+        letters, yes = strip("", re.sub(r"(…|\.\.\.|�|\[…\])\s*$", "", a)).translate(look).lower(), None
         for b in group or []:
             at, k = 0, 0
-            low = b.lower()
+            low = b.translate(look).lower()
             while at < len(low) and k < len(letters):
                 if low[at].isalnum():
                     if low[at] != letters[k]:
@@ -210,11 +221,29 @@ def _goes_on(mine: pa.Array, others: pa.Array) -> pa.Array:
     return pa.array(out, pa.string())
 
 
+def _longer_versions(short: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(record_id, block_order, version): longer blocks in the place of a block too short for a key of SAME_START letters
+    that begin with it. The block's own record must not hold the longer one, nor the other record the short one."""
+    place = [F.col("paper_id").alias("_paper"), F.col("page").alias("_page"), F.col("kind").alias("_kind"), F.substring("start", 1, 1).alias("_first")]
+    on = ["_paper", "_page", "_kind", "_first"]
+    mine = short.filter((F.col("letters") < SAME_START) & (F.col("letters") > 0)).select("record_id", "block_order", *place, "same", "start")
+    other = blocks.select(*place, F.col("same").alias("version"), F.col("start").alias("begin")).distinct()
+    pairs = mine.select(*on, "same", "start").distinct().join(other, on)
+    # A figure that goes on in figures is another one.
+    other_number = F.col("start").rlike(r"\p{N}$") & F.expr("substring(begin, length(start) + 1, 1)").rlike(r"\p{N}")
+    pairs = pairs.filter(F.col("begin").startswith(F.col("start")) & (F.col("version") != F.col("same")) & ~other_number).select("same", "version")
+    pairs = cut(pairs)
+    held = blocks.select("record_id", F.col("same").alias("version")).join(pairs, "version").join(blocks.select("record_id", "same"), ["record_id", "same"], "left_anti")
+    pairs = held.select("same", "version").distinct()
+    found = mine.select("record_id", "block_order", "same").join(pairs, "same")
+    return found.join(blocks.select("record_id", F.col("same").alias("version")), ["record_id", "version"], "left_anti").select("record_id", "block_order", "version")
+
+
 def _nowhere_later(proofs: DataFrame, records: DataFrame) -> DataFrame:
     """Proofs (record_id, block_order, rest) whose rest, a few misread letters aside, begins no later block of the record."""
     ids = small_or_shuffled(cut(proofs.select("record_id").distinct()), 16)
     later = records.join(ids, "record_id", "left_semi").select("record_id", F.inline("blocks"))
-    later = later.select("record_id", F.col("order").alias("at"), F.lower(F.substring(_letters(F.col("text")), 1, NEXT)).alias("begin"))
+    later = later.select("record_id", F.col("order").alias("at"), _look(F.substring(_letters(F.col("text")), 1, NEXT)).alias("begin"))
     n = F.least(F.length("begin"), F.length("rest"))
     both = F.levenshtein(F.left("begin", n), F.left("rest", n)) * 8 <= n
     found = proofs.join(later, "record_id").filter((F.col("at") > F.col("block_order")) & (n >= F.least(F.lit(8), F.length("rest"))) & both)
@@ -258,16 +287,23 @@ def cut_blocks(records: DataFrame) -> DataFrame:
 
     # The same block in other records of the paper: first only lengths are compared, texts just where one is longer.
     groups = blocks.groupBy("same").agg(F.max("letters").alias("most"), F.count_distinct("record_id").alias("held"))
-    every = ["record_id", "block_order", "same", "letters", "ended"]
-    held = cut(doubtful.filter(~F.col("ended")).select(every).unionByName(blocks.filter("ended").select(every)).join(groups, "same"))
-    ask = held.filter("most > letters AND held > 1")
-    wanted = small_or_shuffled(cut(ask.select("same").distinct()), 16)
-    whole = records.select("record_id", "paper_id", F.inline("blocks")).filter(F.col("kind").isin("paragraph", "caption") & (F.trim("text") != ""))
-    whole = whole.withColumn("same", F.xxhash64("paper_id", "page", "kind", F.lower(F.substring(_letters(F.col("text")), 1, SAME_START)))).select("record_id", F.col("order").alias("block_order"), "same", "text").join(wanted, "same", "left_semi")
-    whole = cut(whole)
-    longest = whole.withColumn("l", F.length(_letters(F.col("text")))).groupBy("same").agg(F.max_by("text", F.struct("l", "text")).alias("longest"))
-    extended = whole.join(ask.select("record_id", "block_order", "same", "ended"), ["record_id", "block_order", "same"]).join(longest, "same")
-    proofs = cut(extended.select("record_id", "block_order", "ended", _goes_on("text", F.array("longest")).alias("rest")).filter("rest IS NOT NULL").distinct())
+    every = ["record_id", "block_order", "paper_id", "page", "kind", "start", "same", "letters", "ended"]
+    compared = cut(doubtful.filter(~F.col("ended")).select(every).unionByName(blocks.filter("ended").select(every)))
+    held = cut(compared.select("record_id", "block_order", "same", "letters", "ended").join(groups, "same"))
+    ask = held.filter("most > letters AND held > 1").select("record_id", "block_order", F.col("same").alias("version"))
+    # Texts shorter than the key are beginnings of the keys of their longer versions.
+    shorter = cut(_longer_versions(compared, blocks))
+    ask = cut(ask.unionByName(shorter).distinct())
+    mine = small_or_shuffled(cut(ask.select("record_id", "block_order").distinct()), 24)
+    wanted = small_or_shuffled(cut(ask.select(F.col("version").alias("same")).distinct()), 16)
+    texts = records.select("record_id", "paper_id", F.inline("blocks")).filter(F.col("kind").isin("paragraph", "caption") & (F.trim("text") != ""))
+    texts = texts.withColumn("all", _letters(F.col("text")))
+    texts = texts.select("record_id", F.col("order").alias("block_order"), _same(_look(F.substring("all", 1, SAME_START))).alias("same"), F.length("all").alias("l"), "text")
+    versions = cut(texts.join(wanted, "same", "left_semi").groupBy(F.col("same").alias("version"), F.col("text").alias("other")).agg(F.max("l").alias("other_l")))
+    own = cut(texts.join(mine, ["record_id", "block_order"], "left_semi").select("record_id", "block_order", "l", "text"))
+    extended = own.join(ask, ["record_id", "block_order"]).join(versions, "version").filter("other_l > l")
+    extended = extended.join(compared.select("record_id", "block_order", "ended"), ["record_id", "block_order"])
+    proofs = cut(extended.select("record_id", "block_order", "ended", _goes_on("text", F.array("other")).alias("rest")).filter("rest IS NOT NULL").distinct())
     # What follows a proper end may stand in the record as a block of its own.
     lost = _nowhere_later(proofs.filter("ended").drop("ended"), records).select("record_id", "block_order")
     extended = cut(proofs.filter(~F.col("ended")).select("record_id", "block_order").unionByName(lost).distinct())
@@ -281,7 +317,9 @@ def cut_blocks(records: DataFrame) -> DataFrame:
     d = d.join(small_or_shuffled(cut(pairs.select("before", "word", F.col("n").alias("pair_n"), F.col("ends").alias("pair_e")))), ["before", "word"], "left")
     zeros = ["word_n", "word_e", "longer", "pair_n", "pair_e"]
     d = d.na.fill(0, zeros).join(extended.withColumn("longer_text", F.lit(True)), ["record_id", "block_order"], "left")
-    d = d.join(held.filter("held > 1").select("record_id", "block_order", (F.col("letters") == F.col("most")).alias("as_long")), ["record_id", "block_order"], "left")
+    longest = held.filter("held > 1").join(shorter.select("record_id", "block_order").distinct().withColumn("_longer", F.lit(True)), ["record_id", "block_order"], "left")
+    longest = longest.select("record_id", "block_order", ((F.col("letters") == F.col("most")) & F.col("_longer").isNull()).alias("as_long"))
+    d = d.join(longest, ["record_id", "block_order"], "left")
     log = lambda c: F.log1p(F.col(c).cast("double"))
     values = {
         "paragraph": F.col("kind") == "paragraph",

@@ -58,3 +58,15 @@ def test_proper_ends_are_compared_too(records):
     record = lambda i, *texts: {"record_id": i, "paper_id": "p", "source": "s", "blocks": [block(x, order=n) for n, x in enumerate(texts)]}
     got = cut_blocks(records(record(1, whole[: whole.index(" 1.1")], first, rest), record(2, whole, first + rest))).collect()
     assert {(r.record_id, r.block_order) for r in got} == {(1, 0)}
+
+
+def test_every_version_and_short_beginnings_are_asked(records):
+    whole = "The stirred vessel was warmed slowly in the light and its growth was measured after the change of the water."
+    misread = whole.replace("growth", "qrowth") + " Then it was left alone."
+    short = "Another aerosol was run with these gradients for two weeks in the dark vessel."
+    record = lambda i, *texts: {"record_id": i, "paper_id": "p", "source": "s", "blocks": [block(x, order=n) for n, x in enumerate(texts)]}
+    alike = whole[:90].replace("e", "е")
+    first, rest = "Зернистый реактор снизил объём пены по всей высоте колонны.", " После каждого сбора он ограничил рост клеток."
+    got = cut_blocks(records(record(1, alike, short[:30], first, rest), record(2, whole, short, first + rest), record(3, misread, short))).collect()
+    assert {(r.record_id, r.block_order, r.score) for r in got} >= {(1, 0, 1.0), (1, 1, 1.0)}
+    assert not {(2, 1), (3, 1), (1, 2)} & {(r.record_id, r.block_order) for r in got}
