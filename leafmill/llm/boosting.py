@@ -23,8 +23,9 @@ class Boosted:
         self.trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.base = 0.0
 
-    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> Boosted:
-        """Learn from rows that stand ``weight`` times each, a whole number; once if none is given."""
+    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, groups: np.ndarray | None = None) -> Boosted:
+        """Learn from rows that stand ``weight`` times each, a whole number; once if none is given. With ``groups`` (numbers
+        from 0) it is a ranking: a row's chance is that among its group's rows and none of them, which scores 0."""
         x, y = np.asarray(x, float), np.asarray(y, float)
         w = np.ones(len(y)) if weight is None else np.asarray(weight, float)
         share = ((w * y).sum() + 0.5) / (w.sum() + 1)
@@ -34,7 +35,8 @@ class Boosted:
         score = np.full(len(y), self.base)
         nodes = 2**self.depth - 1
         for _ in range(self.rounds):
-            p = 1 / (1 + np.exp(-score))
+            up = np.exp(score)
+            p = up / (1 + (up if groups is None else np.bincount(groups, up)[groups]))
             g, h = w * (y - p), w * np.maximum(p * (1 - p), 1e-9)
             feature, value, out = np.full(nodes, -1), np.zeros(nodes), np.zeros(2 * nodes + 1)
             at = np.zeros(len(y), int)
@@ -68,8 +70,8 @@ class Boosted:
             score += out[at] * self.rate
         return self
 
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        """Probabilities of the label."""
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        """Log-odds of the label, or a ranking's scores."""
         x = np.asarray(x, float)
         score = np.full(len(x), self.base)
         for feature, value, out in self.trees:
@@ -80,4 +82,8 @@ class Boosted:
                 go = f >= 0
                 at = np.where(go, 2 * at + 1 + (x[np.arange(len(x)), np.maximum(f, 0)] > value[np.minimum(at, len(value) - 1)]), at)
             score += out[at]
-        return 1 / (1 + np.exp(-score))
+        return score
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        """Probabilities of the label."""
+        return 1 / (1 + np.exp(-self.scores(x)))

@@ -6,15 +6,16 @@ Three classifiers, all boosted trees, trained on this corpus without labels of i
   candidates through an inverted join on character 2-grams, whose rarest ones suffice for all words within two edits.
   Two runners that read the same scanned page err independently, so where both show the same neighbours but other words,
   the word one of them shows is a labelled replacement. A ranking model learns from a bounded sample of such pairs which
-  candidate replaces a word; the statistics it sees (counts, how often a substitution recurs) cover all data.
+  candidate, or none, replaces a word; the statistics it sees (counts, how often a substitution recurs) cover all data.
 * *Joins.* Each pair of line halves around a mark is judged from the counts of the whole, the parts and the spelling with
   the mark; the label is whether another runner shows the whole word or the same broken one.
-* *Furniture.* Lines of papers whose running head is proven by repetition teach how heads differ from the other lines at
-  page edges; the model decides on lines that stand once. Page numbers are proven by their constant distance from the
-  page's place, or by standing alone at a page's edge.
+* *Furniture.* Two classifiers of lines and their neighbours judge running heads and page numbers; what recurs on several
+  pages of a paper (a head's words, a number's distance from the page's place) are their labels, and evidence of its own
+  odds where it is seen.
 
 Defined cases: a paper without a manifest row, or with a null ``scanned``, isn't scanned; null and empty texts have no
-noise; redelivered records count once; a corpus without clean papers or pairs to learn from uses fixed edit-distance rules.
+noise; redelivered records count once; every model is also taught a few seed rows, which decide where the corpus has
+nothing to learn from.
 """
 
 from __future__ import annotations
@@ -70,6 +71,7 @@ def vocabulary(clean: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(words, hanging): counts of words in prose of papers that weren't scanned; counts of words that end in a mark."""
     prose = clean.select(F.inline("blocks")).filter(F.col("kind").isin(*PROSE) & F.col("text").isNotNull())
     raw = cut(prose.select(F.explode(F.split("text", r"\s+")).alias("raw")).groupBy("raw").agg(F.count("*").alias("n")))
+    raw = raw.withColumn("raw", one_form(F.col("raw")))
     whole = raw.select(bare(F.col("raw")).alias("word"), "n")
     pieces = raw.filter(F.col("raw").rlike("[-‐‑/]")).select(F.explode(parts(F.col("raw"))).alias("word"), "n")
     words = whole.unionByName(pieces).filter(F.length("word") >= 2).groupBy("word").agg(F.sum("n").alias("n"))
@@ -106,7 +108,7 @@ def _segments(blocks: DataFrame) -> DataFrame:
     """Line segments (split at runs of spaces) at places where furniture can stand, with their features."""
     lines = blocks.filter(F.col("text").isNotNull()).withColumn("lines", F.split("text", "\n", -1))
     lines = lines.select("*", F.posexplode("lines").alias("line_no", "line"), F.size("lines").alias("n_lines"))
-    lines = lines.withColumn("follow", F.get("lines", F.col("line_no") + 1))
+    lines = lines.withColumn("follow", F.get("lines", F.col("line_no") + 1)).withColumn("ahead", F.when(F.col("line_no") > 0, F.get("lines", F.col("line_no") - 1)))
     seg = lines.select("*", F.explode(F.filter(F.split(F.trim("line"), r"\s{2,}"), lambda s: s != "")).alias("segment"), F.size(F.split(F.trim("line"), r"\s{2,}")).alias("n_segments")).drop("lines", "text", "line")
     seg = seg.withColumn("norm", F.lower(F.regexp_replace("segment", r"\s+", " ")))
     number = F.regexp_extract("segment", NUMBER, 1)
@@ -115,16 +117,61 @@ def _segments(blocks: DataFrame) -> DataFrame:
     return seg.withColumn("edge", edge_line & (F.col("first") | F.col("last") | (F.col("kind") == "other") | (F.col("n_lines") > 1)))
 
 
-def furniture(blocks: DataFrame) -> DataFrame:
-    """(record_id, block_order, line_no, noise, whole): lines with a running head or page number. ``whole`` says whether
-    nothing else stands in the line."""
-    seg = cut(_segments(blocks))
-    offsets = seg.filter("number IS NOT NULL AND edge").groupBy("paper_id", F.expr("number - page").alias("offset")).agg(F.count_distinct("page").alias("pages"))
-    numbers = seg.filter("number IS NOT NULL AND edge").withColumn("offset", F.expr("number - page")).join(offsets, ["paper_id", "offset"])
-    alone = (F.col("n_lines") == 1) & (F.col("kind") == "other") & (F.col("first") | F.col("last"))
-    page_no = numbers.filter((F.col("pages") >= MIN_PAGES) | alone | (F.col("n_segments") > 1) | (F.length("segment") <= 5) & (F.col("first") | F.col("last")))
-    page_no = page_no.select("record_id", "block_order", "line_no", F.lit("page_no").alias("noise"))
-
+NUMBER_FEATURES = ["alone", "other", "first", "last", "first_line", "parts", "length", "worded", "header", "next_lower", "before_open"]
+#: Rows that every model of page numbers, and of running heads, is taught besides the corpus's, label first.
+NUMBER_SEEDS = [
+    *[(1, 1, 1, a, 1 - a, 1, 1, n, w, 0, 0, 0) for a in (0, 1) for n in (1, 3, 8) for w in (0, 1)],
+    *[(1, 0, o, a, 1 - a, f, 1, n, 0, 0, 0, 0) for o in (0, 1) for a in (0, 1) for f in (0, 1) for n in (1, 5)],
+    *[(1, 0, o, a, 1 - a, f, 2, n, 0, h, 0, 0) for o in (0, 1) for a in (0, 1) for f in (0, 1) for n in (1, 8) for h in (0, 1)],
+    *[(0, a, 0, 0, 0, f, 1, n, 0, 0, t, b) for a in (0, 1) for f in (0, 1) for n in (1, 8) for t in (0, 1) for b in (0, 1)],
+]
+HEAD_SEEDS = [
+    *[(1, n, w, 1, 1, f, 1 - f, 0, 0, u, 0, 0, t, a, 0) for n, w in ((30, 4), (60, 7)) for f in (0, 1) for u in (0, 1) for t, a in ((0.8, 0), (0, 0.8))],
+    *[(0, n, w, 0, n < 90, f, 1 - f, front, e, 0, d, 0, 0, 0, 0) for n, w in ((40, 5), (90, 14), (300, 50)) for f in (0, 1) for front in (0, 1) for e in (0, 1) for d in (0, 1)],
+    *[(0, 40, 6, 1, 1, f, 1 - f, front, e, 0, 0, 0.5, 0, 0, 0) for f in (0, 1) for front in (0, 1) for e in (0, 1)],
+]
+#: How much likelier a line is furniture that stands on several pages where it should, and that doesn't in a paper which
+#: shows other lines to do so.
+PROVEN, DISPROVEN = 1000.0, 0.05
+
+
+def _odds(p: Column) -> Column:
+    return p / F.greatest(1 - p, F.lit(1e-6))
+
+
+def page_numbers(seg: DataFrame) -> DataFrame:
+    """Segments judged to be printed page numbers, by the odds of a classifier of lines and their neighbours and those of
+    the number's distance from the page's place, if that is the same on several pages."""
+    n = seg.filter("number IS NOT NULL AND edge").withColumn("offset", F.expr("number - page"))
+    offsets = n.groupBy("paper_id", "offset").agg(F.count_distinct("page").alias("pages"))
+    taught = offsets.groupBy("paper_id").agg(F.max("pages").alias("most"))
+    n = n.join(offsets, ["paper_id", "offset"]).join(taught, "paper_id")
+    features = {
+        "alone": F.col("n_lines") == 1,
+        "other": F.col("kind") == "other",
+        "first": F.col("first"),
+        "last": F.col("last"),
+        "first_line": F.col("line_no") == 0,
+        "parts": F.col("n_segments"),
+        "length": F.length("segment"),
+        "worded": F.col("segment").rlike(r"\p{L}"),
+        "header": F.col("kind") == "section_header",
+        "next_lower": F.coalesce(F.col("follow").rlike(r"^\p{Ll}"), F.lit(False)),
+        "before_open": F.coalesce(~F.col("ahead").rlike(r"[.!?:)]\s*$"), F.lit(False)),
+    }
+    keep = ["record_id", "block_order", "line_no", "pages", "most"]
+    n = cut(n.select(*keep, *[features[k].cast("float").alias(f"f_{k}") for k in NUMBER_FEATURES]))
+    proven = F.col("pages") >= MIN_PAGES
+    columns = [F.col(f"f_{k}").alias(k) for k in NUMBER_FEATURES]
+    model = train(n.filter(F.col("most") >= MIN_PAGES).select(proven.cast("int").alias("label"), *columns), NUMBER_SEEDS)
+    odds = _odds(scorer(model)(F.array(*columns))) * F.when(proven, PROVEN).otherwise(1.0)
+    return n.withColumn("odds", odds).filter("odds >= 1").select("record_id", "block_order", "line_no")
+
+
+def running_heads(seg: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(record_id, block_order, line_no) of the segments judged to be running heads, by the odds of a classifier of lines
+    and their neighbours and those of standing at the edges of several pages; and of those that read like a head of their
+    paper apart from a few misread characters."""
     text = seg.filter("number IS NULL AND edge")
     papers = blocks.select("source", "paper_id").distinct().groupBy("source").agg(F.count("*").alias("source_papers"))
     site = text.withColumn("bare", F.regexp_replace("norm", r"\d+", "")).select("source", "bare", "paper_id").distinct().groupBy("source", "bare").agg(F.count("*").alias("line_papers"))
@@ -136,52 +183,57 @@ def furniture(blocks: DataFrame) -> DataFrame:
     words = F.filter(F.split("norm", r"[^\p{L}\p{N}-]+"), lambda w: F.length(w) > 2)
     told = lambda c: F.filter(F.split(F.lower(F.coalesce(F.col(c), F.lit(""))), r"[^\p{L}\p{N}-]+"), lambda w: F.length(w) > 2)
     share = lambda c: F.coalesce(F.try_divide(F.size(F.array_intersect(words, told(c))), F.size(F.array_distinct(words))), F.lit(0.0))
-    text = text.select(
-        "*",
-        F.length("segment").alias("length"),
-        F.size(words).alias("words"),
-        (F.col("kind") == "other").alias("other"),
-        (F.col("n_lines") == 1).alias("alone"),
-        (F.col("page") <= 1).alias("front"),
-        F.col("segment").rlike(r"[.?!:;,)]$").alias("ended"),
-        (F.col("segment") == F.upper("segment")).alias("upper"),
-        F.col("segment").rlike(r"\d").alias("digits"),
-        share("title").alias("_title"),
-        share("paper_id").alias("author"),
-        F.coalesce(F.col("follow").rlike(r"^\p{Ll}"), F.lit(False)).alias("next_lower"),
-    )
+    features = {
+        "length": F.length("segment"),
+        "words": F.size(words),
+        "other": F.col("kind") == "other",
+        "alone": F.col("n_lines") == 1,
+        "first": F.col("first"),
+        "last": F.col("last"),
+        "front": F.col("page") <= 1,
+        "ended": F.col("segment").rlike(r"[.?!:;,)]$"),
+        "upper": F.col("segment") == F.upper("segment"),
+        "digits": F.col("segment").rlike(r"\d"),
+        "site": F.col("site"),
+        "title": share("title"),
+        "author": share("paper_id"),
+        "next_lower": F.coalesce(F.col("follow").rlike(r"^\p{Ll}"), F.lit(False)),
+    }
+    text = text.select("record_id", "paper_id", "block_order", "line_no", "kind", "first", "last", "site", "pages", "segment", "norm", *[features[k].cast("float").alias(f"f_{k}") for k in LINE_FEATURES])
     # A head stands at the edge of several pages of its paper and isn't a line of the whole site.
     # In capitals it may have been taken for a section header; then it must be several words at a page's edge.
     plain = (F.col("kind") != "section_header") & (F.length("segment") >= 4)
-    titled = (F.col("kind") == "section_header") & (F.col("first") | F.col("last")) & (F.col("words") >= 3)
-    proven = (F.col("pages") >= MIN_PAGES) & (F.col("site") < SITE_SHARE) & (plain | titled) & ~((F.col("kind") == "caption") & F.col("alone"))
-    proven &= (F.col("kind") == "other") | ~F.col("ended")  # the short last lines of paragraphs recur, too
-    text = cut(text.withColumn("proven", proven).drop("title").withColumnRenamed("_title", "title"))
-    taught = text.filter("proven").select("paper_id").distinct()
-    features = [F.col(c).cast("float").alias(c) for c in LINE_FEATURES]
-    sample = text.filter(plain).join(taught, "paper_id", "left_semi").select(F.col("proven").cast("int").alias("label"), *features)
-    model = train(sample)
-    unsure = text.filter(plain & ~F.col("proven") & (F.col("site") < SITE_SHARE) & (F.col("pages") < MIN_PAGES))
-    unsure = unsure.join(taught, "paper_id", "left_anti")
-    if model is not None:
-        unsure = unsure.withColumn("score", scorer(model)(F.array(*features))).filter("score >= 0.5")
-    else:
-        unsure = unsure.filter(F.lit(False))
-    head = text.filter("proven").select("record_id", "block_order", "line_no").unionByName(unsure.select("record_id", "block_order", "line_no"))
-    # A line that also reads like the proven head of its paper apart from a few misread characters is one, too.
-    heads = text.filter("proven").groupBy("paper_id", "norm").agg(F.max("pages").alias("_p")).select("paper_id", F.col("norm").alias("head"))
-    near = text.filter((F.length("segment") >= 4) & ~F.col("proven") & (F.col("site") < SITE_SHARE)).join(heads, "paper_id")
-    near = near.filter(F.levenshtein("norm", "head", 4) >= 0).filter(F.levenshtein("norm", "head") * 5 <= F.length("head"))
-    head = head.unionByName(near.select("record_id", "block_order", "line_no"))
-    return page_no.unionByName(head.withColumn("noise", F.lit("header"))).distinct()
+    titled = (F.col("kind") == "section_header") & (F.col("first") | F.col("last")) & (F.col("f_words") >= 3)
+    recurs = (F.col("pages") >= MIN_PAGES) & (F.col("site") < SITE_SHARE) & (plain | titled) & ~((F.col("kind") == "caption") & (F.col("f_alone") == 1))
+    recurs &= (F.col("kind") == "other") | (F.col("f_ended") == 0)  # the short last lines of paragraphs recur, too
+    text = cut(text.filter(plain | titled).withColumn("proven", recurs).withColumn("plain", plain))
+    taught = text.filter("proven").select("paper_id").distinct().withColumn("taught", F.lit(True))
+    text = text.join(small_or_shuffled(cut(taught)), "paper_id", "left").withColumn("taught", F.coalesce("taught", F.lit(False)))
+    columns = [F.col(f"f_{k}").alias(k) for k in LINE_FEATURES]
+    model = train(text.filter("plain AND taught").select(F.col("proven").cast("int").alias("label"), *columns), HEAD_SEEDS)
+    told_ = F.when(F.col("proven"), PROVEN).when(F.col("taught") | ~F.col("plain") | (F.col("site") >= SITE_SHARE) | (F.col("pages") >= MIN_PAGES), DISPROVEN).otherwise(1.0)
+    scored = cut(text.withColumn("odds", _odds(scorer(model)(F.array(*columns))) * told_).select("record_id", "paper_id", "block_order", "line_no", "segment", "norm", "site", "pages", "proven", "odds"))
+    head = scored.filter("odds >= 1").select("record_id", "block_order", "line_no")
+    heads = scored.filter("proven AND odds >= 1").groupBy("paper_id", "norm").agg(F.max("pages").alias("_p")).select("paper_id", F.col("norm").alias("head"))
+    near = scored.filter((F.length("segment") >= 4) & ~F.col("proven") & (F.col("site") < SITE_SHARE)).join(heads, "paper_id")
+    near = near.filter(F.levenshtein("norm", "head") * 5 <= F.length("head"))
+    return head.unionByName(near.select("record_id", "block_order", "line_no"))
+
+
+def furniture(blocks: DataFrame) -> DataFrame:
+    """(record_id, block_order, line_no, noise): lines with a running head or page number."""
+    seg = cut(_segments(blocks))
+    numbers = page_numbers(seg).withColumn("noise", F.lit("page_no"))
+    return numbers.unionByName(running_heads(seg, blocks).withColumn("noise", F.lit("header"))).distinct()
 
 
 # --- models ----------------------------------------------------------------------------------------------------------
 
 
-def train(sample: DataFrame) -> Boosted | None:
-    """A model of the column ``label``. Rows of equal features and label are one row that weighs as many, so that all rows
-    are seen; where more than SAMPLE_ROWS are left, about so many rows are drawn, each copy of equal ones by itself."""
+def train(sample: DataFrame, seeds: list[tuple] = ()) -> Boosted:
+    """A model of the column ``label``, of ``seeds`` (label, *features), which every model is taught, and of the sample.
+    Rows of equal features and label are one row that weighs as many, so that all rows are seen; where more than
+    SAMPLE_ROWS are left, about so many rows are drawn, each copy of equal ones by itself."""
     names = [c for c in sample.columns if c != "label"]
     s = cut(sample.groupBy(*names, "label").agg(F.count("*").alias("_n")))
     if s.count() > SAMPLE_ROWS:
@@ -190,19 +242,20 @@ def train(sample: DataFrame) -> Boosted | None:
         drawn = copies.filter(F.col("_h") < int(-(2**63) + 2**64 * (SAMPLE_ROWS / total)))
         s = cut(drawn.groupBy(*names, "label").agg(F.count("*").alias("_n")))
     rows = s.orderBy(*names, "label").toPandas()
-    if rows["_n"].sum() < 50 or rows["label"].nunique() < 2:
-        return None
-    return Boosted().fit(rows[names].to_numpy(float), rows["label"].to_numpy(float), rows["_n"].to_numpy(float))
+    first = np.array(seeds, float).reshape(len(seeds), len(names) + 1)
+    x = np.concatenate([first[:, 1:], rows[names].to_numpy(float)])
+    y = np.concatenate([first[:, 0], rows["label"].to_numpy(float)])
+    return Boosted().fit(x, y, np.concatenate([np.ones(len(first)), rows["_n"].to_numpy(float)]))
 
 
-def scorer(model: Boosted):
-    """A column function: array of features -> probability."""
+def scorer(model: Boosted, raw: bool = False):
+    """A column function: array of features -> probability, or the log-odds."""
 
     @F.arrow_udf(T.DoubleType())
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             x = np.array(batch.flatten().to_numpy(zero_copy_only=False), float).reshape(len(batch), -1)
-            yield pa.array(model.predict(x) if len(x) else np.empty(0), pa.float64())
+            yield pa.array((model.scores(x) if raw else model.predict(x)) if len(x) else np.empty(0), pa.float64())
 
     return score
 
@@ -233,7 +286,10 @@ def candidates(unknown: DataFrame, words: DataFrame) -> DataFrame:
     pairs = left.join(right, "gram").filter(F.abs(F.length("x") - F.length("word")) <= EDITS).select("x", F.col("word").alias("y"), F.col("n").alias("n_y")).distinct()
     allowed = F.when(F.length("x") >= 4, F.lit(EDITS)).otherwise(F.lit(1))
     pairs = pairs.withColumn("edits", F.levenshtein("x", "y"))
-    return pairs.filter((F.col("edits") > 0) & (F.col("edits") <= allowed) & ~F.col("y").startswith(F.col("x")))
+    # A word without its beginning or end, or with something glued to it, isn't misread.
+    x, y = F.col("x"), F.col("y")
+    part = y.startswith(x) | y.endswith(x) | x.startswith(y) | x.endswith(y)
+    return pairs.filter((F.col("edits") > 0) & (F.col("edits") <= allowed) & ~part)
 
 
 @F.arrow_udf(T.StringType())
@@ -251,21 +307,33 @@ def _change(x: pa.Array, y: pa.Array) -> pa.Array:
     return pa.array(out, pa.string())
 
 
-WORD_FEATURES = ["edits", "longer", "length", "log_y", "log_x", "log_clean", "log_change", "rank_change", "rivals", "same_first", "odd", "change_length"]
+WORD_FEATURES = ["edits", "longer", "length", "log_y", "log_x", "log_clean", "log_change", "rank_change", "rivals", "same_first", "odd", "change_length", "begins", "pure"]
+
+
+#: Rows that every ranking is taught, each a word of its own: (label, *WORD_FEATURES).
+WORD_SEEDS = [
+    *[(1, 1, 0, n, 4, 1, 0, k, 1, 1, f, o, 3, 0, 0) for n in (6, 10) for k in (2, 3) for f in (0, 1) for o in (0, 1)],
+    *[(1, 2, 1, n, 4, 1, 0, 3, 1, 1, f, 0, 4, 0, 0) for n in (8, 12) for f in (0, 1)],
+    *[(0, 2, d, n, 4, 1, 0, 0.7, r, 6 - 5 * r, f, 0, 5, b, 0) for n in (3, 5, 8) for d in (-1, 0, 1) for r in (0.2, 1) for f in (0, 1) for b in (0, 3)],
+    *[(0, 1, d, n, 4, 1, 0, 0.7, 1, 1, f, 0, 3, b, d != 0) for d in (-1, 0, 1) for n in (3, 5) for f in (0, 1) for b in (0, 3)],
+    *[(0, e, 0, n, 4, 3, 1.5, 0.7, 0.3, 2, f, 0, 3, 0, 0) for e in (1, 2) for n in (4, 8) for f in (0, 1)],
+]
 
 
-def corrections(unknown: DataFrame, words: DataFrame, pairs: DataFrame | None) -> DataFrame:
+def corrections(unknown: DataFrame, words: DataFrame, pairs: DataFrame) -> DataFrame:
     """(x, y): the unknown words that are misread, and what they should read.
 
     ``unknown``: (x, n_x, n_clean); ``pairs``: (x, y, other) readings at the same place in another record.
     """
     c = candidates(unknown, words).join(unknown, "x").withColumn("change", _change(F.col("x"), F.col("y")))
     c = cut(c)
-    c = c.filter(~F.col("change").rlike("^>|>$"))  # characters are misread, not lost or added: "sampl" is no misread word
     often = c.groupBy("change").agg(F.count_distinct("x").alias("n_change"))
     c = c.join(often, "change")
     best = c.groupBy("x").agg(F.max("n_change").alias("most"), F.count("*").alias("rivals"))
-    c = cut(c.join(best, "x"))
+    # A word that begins longer ones may be the rest of a cut text rather than misread.
+    begun = words.select("n", "word", F.explode(F.sequence(F.lit(1), F.greatest(F.length("word") - 1, F.lit(1)))).alias("k")).filter("k < length(word)")
+    begun = begun.groupBy(F.expr("substring(word, 1, k)").alias("x")).agg(F.max("n").alias("n_begun"))
+    c = c.join(best, "x").join(begun, "x", "left").na.fill(0, ["n_begun"])
     log = lambda v: F.log1p(F.col(v).cast("double")).cast("float")
     features = {
         "edits": F.col("edits"),
@@ -280,34 +348,54 @@ def corrections(unknown: DataFrame, words: DataFrame, pairs: DataFrame | None) -
         "same_first": F.substring("x", 1, 1) == F.substring("y", 1, 1),
         "odd": F.col("x").rlike(r"[^\p{L}]"),
         "change_length": F.length("change"),
+        "begins": log("n_begun"),
+        "pure": F.col("change").rlike("^>|>$"),
     }
     columns = [features[k].cast("float").alias(k) for k in WORD_FEATURES]
-    model = None
-    if pairs is not None:
-        seen = cut(pairs.groupBy("x", "y").agg(F.count("*").alias("seen")))
-        known = seen.groupBy("x").agg(F.sum("seen").alias("all_seen"))
-        labelled = c.join(known, "x").join(seen, ["x", "y"], "left")
-        labelled = labelled.select((F.coalesce("seen", F.lit(0)) * 2 > F.col("all_seen")).cast("int").alias("label"), *columns)
-        model = train(labelled)
-    if model is None:
-        score = 1 / (F.col("edits") + F.length("change") / 8) * F.when(F.col("n_clean") > 0, 0.1).otherwise(1.0)
-    else:
-        score = scorer(model)(F.array(*columns))
-    c = c.withColumn("score", score).filter("score >= 0.5")
-    return c.groupBy("x").agg(F.max_by("y", F.struct("score", "n_y", "y")).alias("y"))
+    c = cut(c.select("x", "y", "n_y", *columns))
+    model = _ranking(c, pairs)
+    # The chance of a candidate among all of its word and that of no replacement, whose score is 0.
+    scored = c.select("x", "y", "n_y", scorer(model, raw=True)(F.array(*WORD_FEATURES)).alias("score"))
+    best = F.max_by(F.struct("y", "score"), F.struct("score", "n_y", "y")).alias("b")
+    chosen = scored.groupBy("x").agg(best, F.sum(F.exp("score")).alias("all"))
+    return chosen.filter(2 * F.exp("b.score") >= 1 + F.col("all")).select("x", "b.y")
+
+
+def _ranking(c: DataFrame, pairs: DataFrame) -> Boosted:
+    """A ranking model of the candidates ``c`` (x, y, *features): boosted trees whose scores make the candidate that other
+    records show likely among its word's, or none. It learns from the words that have readings; where their candidates
+    are more than SAMPLE_ROWS, from about so many, whole words drawn by hash."""
+    seen = cut(pairs.groupBy("x", "y").agg(F.count("*").alias("seen")))
+    known = seen.groupBy("x").agg(F.sum("seen").alias("all_seen"))
+    labelled = c.join(known, "x").join(seen, ["x", "y"], "left")
+    labelled = cut(labelled.select("x", (F.coalesce("seen", F.lit(0)) * 2 > F.col("all_seen")).cast("int").alias("label"), *WORD_FEATURES))
+    n = labelled.count()
+    if n > SAMPLE_ROWS:
+        labelled = labelled.filter(F.xxhash64("x", F.lit(3)) < int(-(2**63) + 2**64 * (SAMPLE_ROWS / n)))
+    rows = labelled.orderBy("x", "label", *WORD_FEATURES).toPandas()
+    first = np.array(WORD_SEEDS, float)
+    x = np.concatenate([first[:, 1:], rows[WORD_FEATURES].to_numpy(float)])
+    y = np.concatenate([first[:, 0], rows["label"].to_numpy(float)])
+    words = np.unique(rows["x"].to_numpy(str), return_inverse=True)[1] if len(rows) else np.empty(0, int)
+    return Boosted().fit(x, y, groups=np.concatenate([np.arange(len(first)), len(first) + words]))
 
 
 def readings(prose: DataFrame, papers: DataFrame) -> DataFrame:
-    """(x, y): words two records of a scanned paper show between the same neighbours, of a bounded sample of papers."""
+    """(x, y): words two records of a scanned paper show between the same neighbours, and words at a block's end with what
+    another record shows after the same two words; of a bounded sample of papers."""
     some = papers.filter("scanned").orderBy(F.xxhash64("paper_id")).limit(SAMPLE_PAPERS).select("paper_id")
     w = prose.join(F.broadcast(some), "paper_id", "left_semi").withColumn("w", F.transform(raw_words(F.col("text")), bare))
     n = F.size("w")
-    at = F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.struct(F.get("w", i - 1).alias("before"), F.get("w", i).alias("x"), F.get("w", i + 1).alias("after")))
-    t = w.filter(n >= 3).select("paper_id", "page", "record_id", F.inline(at)).filter("length(before) > 1 AND length(after) > 1")
-    t = cut(t.groupBy("paper_id", "page", "before", "after", "record_id", "x").agg(F.count("*").alias("n")))
-    other = t.select("paper_id", "page", "before", "after", F.col("record_id").alias("other"), F.col("x").alias("y"))
-    both = t.join(other, ["paper_id", "page", "before", "after"]).filter("record_id <> other")
-    return both.select("x", "y")
+    at = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.struct(F.get("w", i - 2).alias("two"), F.get("w", i - 1).alias("before"), F.get("w", i).alias("x"), F.get("w", i + 1).alias("after")))
+    t = cut(w.filter(n >= 2).select("paper_id", "page", "record_id", F.inline(at)).filter("length(before) > 1"))
+
+    def told(mine: DataFrame, others: DataFrame, beside: str) -> DataFrame:
+        key = ["paper_id", "page", "before", beside]
+        mine, others = (d.filter(F.length(beside) > 1).groupBy(*key, "record_id", "x").agg(F.count("*").alias("n")).drop("n") for d in (mine, others))
+        both = mine.join(others.select(*key, F.col("record_id").alias("other"), F.col("x").alias("y")), key)
+        return both.filter("record_id <> other").select("x", "y")
+
+    return told(t, t, "after").unionByName(told(t.filter("after IS NULL"), t, "two"))
 
 
 # --- joins -----------------------------------------------------------------------------------------------------------
@@ -315,6 +403,14 @@ def readings(prose: DataFrame, papers: DataFrame) -> DataFrame:
 JOIN_FEATURES = ["log_whole", "log_left", "log_right", "log_compound", "log_hanging", "plain_mark", "line_end", "left_length", "right_length", "right_upper"]
 
 
+#: Rows that every model of joins is taught: (label, *JOIN_FEATURES).
+JOIN_SEEDS = [
+    *[(1, w, l, r, 0, 0, p, e, 4, 4, 0) for w in (0.7, 4) for l, r in ((0, 0), (2, 0), (0, 2)) for p in (0, 1) for e in (0, 1)],
+    *[(0, 0, 3, 3, c, 0, 1, e, 6, 6, u) for c in (0.7, 3) for e in (0, 1) for u in (0, 1)],
+    *[(0, 0, 3, 4, 0, 2, 1, e, 3, 3, 0) for e in (0, 1)],
+]
+
+
 def splits(prose: DataFrame) -> DataFrame:
     """Every place where a mark stands between two halves: (record_id, paper_id, page, block_order, left, mark, gap, right)."""
     found = F.transform(F.regexp_extract_all("text", F.lit(BROKEN), F.lit(0)), lambda m: F.struct(F.regexp_extract(m, SPLIT, 1).alias("left"), F.regexp_extract(m, SPLIT, 2).alias("mark"), F.regexp_extract(m, SPLIT, 3).alias("gap"), F.regexp_extract(m, SPLIT, 4).alias("right")))
@@ -359,12 +455,8 @@ def split_words(s: DataFrame, prose: DataFrame, words: DataFrame, hanging: DataF
     shown = shown.select("paper_id", "page", "other", bare(F.col("raw")).alias("shown")).distinct()
     asks = here.select("paper_id", "page", "record_id", *key, F.explode(F.array(F.struct(F.concat("l", "r").alias("shown"), F.lit(1).alias("label")), F.struct(F.concat("l", F.lit("-")).alias("shown"), F.lit(0).alias("label")))).alias("a")).select("*", "a.*").drop("a")
     told = asks.join(shown, ["paper_id", "page", "shown"]).filter("record_id <> other").groupBy(*key).agg(F.max("label").alias("share"))
-    model = train(kinds.join(told, key).select(F.col("share").alias("label"), *columns))
-    if model is None:
-        yes = (F.col("n_compound") == 0) & ((F.col("n_whole") > 0) | (F.col("n_fixed") > 0) | (F.col("n_left") == 0) | (F.col("n_right") == 0))
-        kinds = kinds.filter(yes)
-    else:
-        kinds = kinds.withColumn("score", scorer(model)(F.array(*columns))).filter("score >= 0.5")
+    model = train(kinds.join(told, key).select(F.col("share").alias("label"), *columns), JOIN_SEEDS)
+    kinds = kinds.withColumn("score", scorer(model)(F.array(*columns))).filter("score >= 0.5")
     return s.join(small_or_shuffled(cut(kinds.select(*key, "whole"))), key)
 
 

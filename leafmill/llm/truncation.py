@@ -4,14 +4,18 @@ For each source and kind of block the lengths, in bytes and in characters, are m
 censoring: values at a candidate limit are an unknown mixture of whole texts of that length and of longer ones that were
 cut there. Maximum likelihood (EM) gives the distribution and, for each length at a limit, the posterior that a value of
 that length is censored; candidate limits are lengths at which open-ended texts pile up beyond their neighbourhood.
-
-The posterior is combined with evidence of the ending by boosted trees: end marks, marks of a cut, whether the text runs on
-in the next page's first paragraph, and, for captions, which may lack a full stop, how often their last words end captions
-or begin longer words. Labels come from the corpus: another record of the paper may hold the same block with more text; all its versions are asked.
-Where it does, and the text goes on in the line, the block is cut, whatever the model says; a block with a proper end
-only if none of its record's later blocks begins with what follows there.
-
-Defined cases: null and empty texts can't be cut; a null source is a source of its own; redelivered records count once.
+Properly ended texts, open ones and those that run on in the next page's first paragraph have posteriors of their own.
+
+The decision is a product of odds: those of the censoring posterior (away from a limit, of the class of texts), of the
+ending, and of the other records. The ending's odds come from boosted trees over end marks, marks of a cut, what the next
+page's first paragraph begins with, and, for captions, which may lack a full stop, how often their last words end captions
+or begin longer words. Its labels are the corpus's own: away from limits, another record of the paper holds the same block
+with more text, or none does. That evidence itself has odds, too: how often such a proof is found for texts whose length
+says that they were cut, against PROOF_ERROR. A block with a proper end is proven only if none of its record's later
+blocks begins with what follows there.
+
+Defined cases: null and empty texts can't be cut; a null source is a source of its own; redelivered records count once;
+without any labelled rows the ending model is its seed rows alone.
 """
 
 from __future__ import annotations
@@ -23,74 +27,81 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from leafmill.llm.boosting import Boosted
-from leafmill.llm.lookalikes import CYRILLIC, CYRILLIC_AS, GREEK, GREEK_AS
+from leafmill.llm.lookalikes import CYRILLIC, CYRILLIC_AS, GREEK, GREEK_AS, one_form
+from leafmill.llm.scans import NUMBER, scorer, train
 from leafmill.session import cut, drop_redelivered, one_per_key, small_or_shuffled
 
-#: Labelled rows the ending model sees at most.
-SAMPLE_ROWS = 60_000
 #: A pile must exceed its neighbourhood by this many standard deviations; bytes of a character cut at a byte limit.
 PILE_Z, REACH = 6.0, 3
-#: Letters that two records' blocks must share from their beginning on to be the same block.
-SAME_START = 40
+#: Letters of the two windows at a text's beginning, one of which two versions must share (the second may be a place off).
+WINDOW = 24
+#: Letters in so many of which one may be misread between two versions.
+MISREAD = 20
 #: Letters of what follows in another record that are looked for in the record's own later blocks.
 NEXT = 24
+#: Last letters of a text by which its end is found in another that differs from it.
+LAST = 6
 #: A last line in so many papers and so large a share of its source's is the site's, not the block's.
 SITE_PAPERS, SITE_SHARE = 3, 0.1
+#: How often a whole block seems to go on in another record.
+PROOF_ERROR = 1e-4
 
 ENDED = r"[.!?。！？؟।:：][)\]\"”»’'』」]*$"
 MARK = r"(…|\.\.\.|\x{FFFD}|\[(\.\.\.|…|\p{L}+)\])$"
-PAGE_NUMBER = r"^(?:\p{L}{1,10}\.?\s*)?[\[(–—-]*\s*\d{1,5}(?:\s*/\s*\d{1,5})?\s*[\])–—-]*$"
-
-
-def _letters(text: Column) -> Column:
-    return F.regexp_replace(text, r"[^\p{L}\p{N}]+", "")
+LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl"}
+WIDE = "".join(chr(0xFEE0 + c) for c in range(0x21, 0x7F))
+WIDE_AS = "".join(map(chr, range(0x21, 0x7F)))
 
 
-def _look(letters: Column) -> Column:
-    """Small letters in a form that a text's beginning shares with the whole: each look-alike by itself."""
-    return F.lower(F.translate(letters, CYRILLIC + GREEK, CYRILLIC_AS + GREEK_AS))
+def _look(text: Column) -> Column:
+    """The letters and figures of a text, small, in a form that a text's beginning shares with the whole: each look-alike
+    and wide form by itself."""
+    plain = F.translate(text, CYRILLIC + GREEK + WIDE, CYRILLIC_AS + GREEK_AS + WIDE_AS)
+    for ligature, letters in LIGATURES.items():
+        plain = F.replace(plain, F.lit(ligature), F.lit(letters))
+    return F.lower(F.regexp_replace(plain, r"[^\p{L}\p{N}]+", ""))
 
 
-def _same(start: Column) -> Column:
-    return F.xxhash64("paper_id", "page", "kind", start)
+def _same(*what: Column | str) -> Column:
+    return F.xxhash64("paper_id", "page", "kind", *what)
 
 
 def prose_blocks(records: DataFrame) -> DataFrame:
-    """Paragraphs and captions with their length, ending and what the next page's first paragraph begins with."""
+    """Paragraphs and captions with their letters, length, ending and what the next page's first paragraph begins with."""
     filled = F.filter("blocks", lambda b: (F.trim(b["text"]) != "") & b["kind"].isin("paragraph", "caption"))
     r = records.select("record_id", F.coalesce("source", F.lit("")).alias("source"), "paper_id", filled.alias("b"))
     r = r.withColumn("p", F.filter("b", lambda b: b["kind"] == "paragraph")).withColumn("c", F.filter("b", lambda b: b["kind"] == "caption"))
     nxt = lambda i: F.get(F.col("p"), i + 1)
     row = lambda b, page, start: F.struct(b["order"].alias("block_order"), b["kind"].alias("kind"), b["page"].alias("page"), b["text"].alias("text"), page.alias("next_page"), start.alias("next_start"))
-    paragraphs = F.transform("p", lambda b, i: row(b, nxt(i)["page"], F.substring(F.ltrim(nxt(i)["text"]), 1, 24)))
+    paragraphs = F.transform("p", lambda b, i: row(b, nxt(i)["page"], F.substring(F.ltrim(nxt(i)["text"]), 1, 1)))
     captions = F.transform("c", lambda b: row(b, F.lit(None).cast("int"), F.lit(None).cast("string")))
     b = r.select("record_id", "source", "paper_id", F.inline(F.concat(paragraphs, captions)))
-    b = b.withColumn("t", F.regexp_replace("text", r"(?U)\s+$", ""))
-    letters = _letters(F.col("t"))
-    ended = F.col("t").rlike(ENDED) & ~F.col("t").rlike(MARK)
+    b = b.withColumn("t", F.regexp_replace("text", r"(?U)\s+$", "")).withColumn("look", _look(F.col("text")))
+    marked = F.col("t").rlike(MARK)
     leaves = F.coalesce(F.col("next_page") > F.col("page"), F.lit(False))
-    b = b.select(
-        "record_id",
-        "block_order",
-        "source",
-        "paper_id",
-        "kind",
-        "page",
+    b = b.withColumns({"marked": marked, "ended": F.col("t").rlike(ENDED) & ~marked, "leaves": leaves, "letters": F.length("look")})
+    upper = F.coalesce(F.col("next_start").rlike(r"^\p{Lu}"), F.lit(False))
+    last = F.element_at(F.split("t", "\n"), -1)
+    return b.select(
+        "record_id", "block_order", "source", "paper_id", "kind", "page", "text", "look", "letters", "ended", "marked", "leaves",
         F.octet_length("text").alias("bytes"),
         F.length("text").alias("chars"),
-        F.length(letters).alias("letters"),
-        _look(F.substring(letters, 1, SAME_START)).alias("start"),
-        ended.alias("ended"),
-        F.col("t").rlike(MARK).alias("marked"),
-        F.when(~ended, F.substring("t", -80, 80)).alias("tail"),
-        F.when(~ended, F.element_at(F.split("t", "\n"), -1)).alias("last_line"),
+        _same(F.substring("look", 1, 2 * WINDOW)).alias("same"),
+        F.when(~F.col("ended"), _line(last)).alias("line"),
+        F.coalesce(F.trim(last).rlike(NUMBER), F.lit(False)).alias("numbered"),
         F.contains("t", F.lit("\n")).alias("lined"),
-        leaves.alias("leaves"),
         F.coalesce(F.col("next_start").rlike(r"^[\p{Ll}\p{Lo}]"), F.lit(False)).alias("next_lower"),
-        F.coalesce(F.col("next_start").rlike(r"^\p{Lu}"), F.lit(False)).alias("next_upper"),
-    )
-    return b.withColumn("same", _same(F.col("start")))
+        upper.alias("next_upper"),
+        F.when(F.col("ended"), "ended").when(leaves & F.col("next_start").rlike(r"^[\p{Ll}\p{Lo}\p{N}]"), "runs on").otherwise("open").alias("ending"),
+        (F.col("t") != F.col("text")).alias("space_end"),
+        F.col("t").rlike(r"[\x21-\x7E]$").alias("ascii_end"),
+        F.col("t").rlike(r"[\p{L}\p{N}]$").alias("letter_end"),
+    )
+
+
+def _line(line: Column) -> Column:
+    """What lines of site text or running heads share: their letters."""
+    return F.xxhash64(F.lower(F.regexp_replace(line, r"\P{L}+", "")))
 
 
 # --- lengths ---------------------------------------------------------------------------------------------------------
@@ -104,28 +115,26 @@ def _normal_tail(a: float) -> float:
     return exp(-a * a / 2) / sqrt(2 * pi) / tail if tail > 1e-12 else a + 1 / max(a, 1.0)
 
 
-def censoring(length: np.ndarray, ended: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, list[int]]:
-    """(posterior of each row, limits) for the histogram of one source's lengths; ``ended`` says which rows end properly."""
+def censoring(length: np.ndarray, ending: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """(posterior of each row, limits) for the histogram of one source's lengths; ``ending`` says which rows end properly
+    ("ended", or True), are "open" (or False), or may be open because the text "runs on" elsewhere."""
     from math import erf
 
+    ending = np.where(ending, "ended", "open") if ending.dtype == bool else ending
     posterior, limits = np.zeros(len(n)), []
-    open_n: dict[int, float] = {}
-    for v, e, k in zip(length, ended, n):
-        if not e:
-            open_n[int(v)] = open_n.get(int(v), 0.0) + k
-    near = lambda hist, v, lo, hi: [hist.get(v + d, 0.0) for d in (*range(-hi, -lo + 1), *range(lo, hi + 1)) if v + d > 0]
-    for v, k in open_n.items():
-        around = float(np.mean(near(open_n, v, REACH + 1, 20)))
+    hists = {e: {int(v): float(k) for v, k, x in zip(length, n, ending) if x == e} for e in ("ended", "open", "runs on")}
+    near = lambda hist, v: float(np.mean([hist.get(v + d, 0.0) for d in (*range(-20, -REACH), *range(REACH + 1, 21)) if v + d > 0]))
+    for v, k in hists["open"].items():
+        around = near(hists["open"], v)
         if k >= 4 and (k - around) / sqrt(around + 1) >= PILE_Z:
             limits.append(v)
     if not limits:
         return posterior, limits
     at = np.isin(length, limits)
     log, weight = np.log(np.maximum(length, 1)), n.astype(float)
-    mu, sigma = float(np.average(log, weights=weight)), 1.0
+    mu = float(np.average(log, weights=weight))
     sigma = max(float(np.sqrt(np.average((log - mu) ** 2, weights=weight))), 0.05)
     share = np.where(at, 0.9, 0.0)
-    hists = {e: {int(v): float(k) for v, k, x in zip(length, n, ended) if x == e} for e in (True, False)}
     for _ in range(30):
         # E: the censored part of each pile has the moments of the tail; M: a weighted normal fit of the logs.
         first, second = log.copy(), log**2
@@ -138,15 +147,15 @@ def censoring(length: np.ndarray, ended: np.ndarray, n: np.ndarray) -> tuple[np.
         new = float(np.average(first, weights=weight))
         sigma = max(sqrt(max(float(np.average(second, weights=weight)) - new * new, 0.0)), 0.05)
         done, mu = abs(new - mu) < 1e-6, new
-        for e in (True, False):
-            total = weight[ended == e].sum()
-            for i in np.flatnonzero(at & (ended == e)):
+        for e, hist in hists.items():
+            total = weight[ending == e].sum()
+            for i in np.flatnonzero(at & (ending == e)):
                 cdf = lambda x: 0.5 * (1 + erf((np.log(max(x, 0.5)) - mu) / sigma / sqrt(2)))
                 whole = total * (cdf(length[i] + 0.5) - cdf(length[i] - 0.5))
                 # The fit is smooth; texts of one length can be commoner than it says, as their neighbours are.
-                whole = max(whole if e else 0.0, float(np.mean(near(hists[e], int(length[i]), REACH + 1, 20))))
-                # A proper end speaks for a whole text: only what exceeds chance counts against it.
-                whole += 2 * sqrt(whole + 1) if e else 0.0
+                whole = max(0.0 if e == "open" else whole, near(hist, int(length[i])))
+                # A proper end, or a text that runs on, speaks for a whole one: only what exceeds chance counts against it.
+                whole += 0.0 if e == "open" else 2 * sqrt(whole + 1) if e == "ended" else sqrt(whole)
                 share[i] = max(0.0, 1 - whole / n[i])
         if done:
             break
@@ -155,181 +164,174 @@ def censoring(length: np.ndarray, ended: np.ndarray, n: np.ndarray) -> tuple[np.
 
 
 def posteriors(blocks: DataFrame) -> DataFrame:
-    """(source, kind, unit, length, ended, posterior, n): lengths at which values of a source are censored."""
+    """(source, kind, unit, length, ending, posterior, n): lengths at which values of a source are censored."""
     units = F.explode(F.array(F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("length")), F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("length")))).alias("u")
-    # A text that runs on isn't open for want of its end; it is counted with the whole ones.
-    hist = blocks.withColumn("ended", F.col("ended") | (F.col("leaves") & ~F.col("next_upper"))).select("source", "kind", "ended", "same", units)
     # Versions of one block in several records are one text: together they would look like a pile.
-    hist = hist.select("source", "kind", "u.unit", "u.length", "ended", "same").distinct()
-    hist = hist.groupBy("source", "kind", "unit", "length", "ended").agg(F.count("*").alias("n"))
+    hist = blocks.select("source", "kind", "ending", "same", units).select("source", "kind", "u.unit", "u.length", "ending", "same").distinct()
+    hist = hist.groupBy("source", "kind", "unit", "length", "ending").agg(F.count("*").alias("n"))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        p, _ = censoring(pdf["length"].to_numpy(), pdf["ended"].to_numpy(bool), pdf["n"].to_numpy(float))
+        p, _ = censoring(pdf["length"].to_numpy(), pdf["ending"].to_numpy(), pdf["n"].to_numpy(float))
         return pdf.assign(posterior=p)[p > 0.05]
 
-    schema = "source string, kind string, unit string, length int, ended boolean, n bigint, posterior double"
+    schema = "source string, kind string, unit string, length int, ending string, n bigint, posterior double"
     return hist.groupBy("source", "kind", "unit").applyInPandas(fit, schema)
 
 
 # --- endings ---------------------------------------------------------------------------------------------------------
 
 
-def _words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}'’₀-₉⁰-⁹-]+"), lambda w: w != "")
-
-
 def _caption_words(captions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pairs, words): how often two words, and a word, stand inside and at the end of captions; of a word also how often
-    the most frequent longer word stands that begins with it."""
-    w = captions.withColumn("w", _words(F.col("tail"))).filter(F.size("w") >= 2)
+    """(pairs, words) of captions with their words ``w``: how often two words, and a word, stand inside and at the end of
+    captions; of a word also how often the most frequent longer word stands that begins with it."""
     n = F.size("w")
     each = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.struct(F.get("w", i - 1).alias("before"), F.get("w", i).alias("word"), (i == n - 1).cast("int").alias("end")))
-    pairs = cut(w.select(F.inline(each)).groupBy("before", "word").agg(F.count("*").alias("n"), F.sum("end").alias("ends")))
+    pairs = cut(captions.filter(n >= 2).select(F.inline(each)).groupBy("before", "word").agg(F.count("*").alias("n"), F.sum("end").alias("ends")))
     words = pairs.groupBy("word").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
     starts = words.select("n", "word", F.explode(F.sequence(F.lit(1), F.greatest(F.length("word") - 1, F.lit(1)))).alias("k")).filter("k < length(word)")
     longer = starts.groupBy(F.expr("substring(word, 1, k)").alias("word")).agg(F.max("n").alias("longer"))
     return pairs, words.join(longer, "word", "left").na.fill(0, ["longer"])
 
 
-FEATURES = ["paragraph", "marked", "posterior", "leaves", "next_lower", "next_upper", "ascii_end", "letter_end", "log_word", "log_longer", "word_ends", "pair_ends", "log_pair", "lined"]
-
-
-@F.arrow_udf(T.StringType())
-def _goes_on(mine: pa.Array, others: pa.Array) -> pa.Array:
-    """The next letters of another text that holds this one's and goes on after them in the same line, or null."""
+FEATURES = ["paragraph", "marked", "leaves", "next_lower", "next_upper", "ascii_end", "letter_end", "space_end", "log_word", "log_longer", "word_ends", "pair_ends", "log_pair", "lined"]
+#: Rows every ending model is taught besides the corpus's, in the order (label, *FEATURES): what an ending says where
+#: nothing is known yet.
+SEEDS = [
+    *[(1, 1, 0, 0, 0, 0, a, e, 0, 0, 0, 0.2, 0.2, 0, n) for a in (0, 1) for e in (0, 1) for n in (0, 1)],
+    *[(1, 1, 0, 1, 0, 1, 1, e, 0, 0, 0, 0.2, 0.2, 0, n) for e in (0, 1) for n in (0, 1)],
+    *[(0, 1, 0, 1, lower, 0, 1, e, 0, 0, 0, 0.2, 0.2, 0, n) for lower in (0, 1) for e in (0, 1) for n in (0, 1)],
+    *[(1, p, 1, v, lower, 0, 0, 0, 0, 0, 0, 0.2, 0.2, 0, n) for p in (0, 1) for v, lower in ((0, 0), (1, 0), (1, 1)) for n in (0, 1)],
+    *[(1, p, 0, v, lower, 0, 1, 1, 1, 0, 0, 0.2, 0.2, 0, n) for p in (0, 1) for v, lower in ((0, 0), (1, 0), (1, 1)) for n in (0, 1)],
+    *[(0, 0, 0, 0, 0, 0, 1, 1, 0, w, 0, e, e, 0, n) for w in (0, 2) for e in (0.2, 0.7) for n in (0, 1)],
+    *[(1, 0, 0, 0, 0, 0, 1, 1, 0, w, 2, 0.01, 0.01, 0, n) for w in (0, 3) for n in (0, 1)],
+]
+
+
+@F.arrow_udf(T.StructType([T.StructField("rest", T.StringType()), T.StructField("more", T.IntegerType())]))
+def _after(mine: pa.Array, others: pa.Array, edits: pa.Array) -> pa.Array:
+    """What stands in another text after the letters of this one, if it goes on there in the same line: the next letters
+    and how many letters are left; null if it doesn't. Misread letters may have moved that place by as many: it is where
+    the last letters are the same."""
     import re
 
-    strip = re.compile(r"[\W_]+").sub
-    look = str.maketrans(CYRILLIC + GREEK, CYRILLIC_AS + GREEK_AS)
-    out = []
-    for a, group in zip(mine.to_pylist(), others.to_pylist()):
-        letters, yes = strip("", re.sub(r"(…|\.\.\.|�|\[…\])\s*$", "", a)).translate(look).lower(), None
-        for b in group or []:
-            at, k = 0, 0
-            low = b.translate(look).lower()
-            while at < len(low) and k < len(letters):
-                if low[at].isalnum():
-                    if low[at] != letters[k]:
-                        break
-                    k += 1
-                at += 1
-            rest = re.match(r"([-‐¬­]\n|[^\w\n])*\w", low[at:])
-            if k == len(letters) and rest:
-                yes = strip("", low[at:])[:NEXT]
-                break
-        out.append(yes)
-    return pa.array(out, pa.string())
-
-
-def _longer_versions(short: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(record_id, block_order, version): longer blocks in the place of a block too short for a key of SAME_START letters
-    that begin with it. The block's own record must not hold the longer one, nor the other record the short one."""
-    place = [F.col("paper_id").alias("_paper"), F.col("page").alias("_page"), F.col("kind").alias("_kind"), F.substring("start", 1, 1).alias("_first")]
-    on = ["_paper", "_page", "_kind", "_first"]
-    mine = short.filter((F.col("letters") < SAME_START) & (F.col("letters") > 0)).select("record_id", "block_order", *place, "same", "start")
-    other = blocks.select(*place, F.col("same").alias("version"), F.col("start").alias("begin")).distinct()
-    pairs = mine.select(*on, "same", "start").distinct().join(other, on)
+    rest, more = [], []
+    look, lig = str.maketrans(CYRILLIC + GREEK + WIDE, CYRILLIC_AS + GREEK_AS + WIDE_AS), re.compile("[" + "".join(LIGATURES) + "]").sub
+    for letters, text, far in zip(mine.to_pylist(), others.to_pylist(), edits.to_pylist()):
+        n, at, k = len(letters), 0, 0
+        text = lig(lambda m: LIGATURES[m[0]], text.translate(look))
+        if far:
+            all_ = "".join(c for c in text.lower() if c.isalnum())
+            ends = [d for d in sorted(range(-far, far + 1), key=abs) if all_[: n + d].endswith(letters[-LAST:])]
+            n += ends[0] if ends else 0
+        while k < n and at < len(text):
+            k += text[at].isalnum()
+            at += 1
+        on = re.match(r"([-‐¬\xad]\n|[^\w\n])*\w", text[at:])
+        left = "".join(c for c in text[at:] if c.isalnum()) if on else ""
+        rest.append(left[: 2 * NEXT] or None)
+        more.append(len(left))
+    return pa.StructArray.from_arrays([pa.array(rest, pa.string()), pa.array(more, pa.int32())], ["rest", "more"])
+
+
+def _windows(df: DataFrame, *keep: str, off: tuple[int, ...] = (0,)) -> DataFrame:
+    """(*keep, key): the keys of a text's windows; of the second one also at places ``off`` by some letters."""
+    first = F.when(F.col("letters") >= WINDOW, _same(F.lit(0), F.substring("look", 1, WINDOW)))
+    second = [F.when(F.col("letters") >= 2 * WINDOW + max(off), _same(F.lit(1), F.substring("look", WINDOW + 1 + d, WINDOW))) for d in off]
+    return df.select(*keep, F.explode(F.filter(F.array(first, *second), lambda k: k.isNotNull())).alias("key"))
+
+
+def _beginnings(blocks: DataFrame) -> DataFrame:
+    """(record_id, block_order, other): texts in the place of a block too short for a window that begin with it. The
+    block's own record must not hold the longer one, nor the other record the short one."""
+    place = ["paper_id", "page", "kind", F.substring("look", 1, 1).alias("first")]
+    on = ["paper_id", "page", "kind", "first"]
+    mine = blocks.filter((F.col("letters") < WINDOW) & (F.col("letters") > 0)).select(*place, "look").distinct()
+    other = blocks.select(*place, F.substring("look", 1, 2 * WINDOW).alias("begin"), F.col("same").alias("longer")).distinct()
     # A figure that goes on in figures is another one.
-    other_number = F.col("start").rlike(r"\p{N}$") & F.expr("substring(begin, length(start) + 1, 1)").rlike(r"\p{N}")
-    pairs = pairs.filter(F.col("begin").startswith(F.col("start")) & (F.col("version") != F.col("same")) & ~other_number).select("same", "version")
-    pairs = cut(pairs)
-    held = blocks.select("record_id", F.col("same").alias("version")).join(pairs, "version").join(blocks.select("record_id", "same"), ["record_id", "same"], "left_anti")
-    pairs = held.select("same", "version").distinct()
-    found = mine.select("record_id", "block_order", "same").join(pairs, "same")
-    return found.join(blocks.select("record_id", F.col("same").alias("version")), ["record_id", "version"], "left_anti").select("record_id", "block_order", "version")
+    other_number = F.col("look").rlike(r"\p{N}$") & F.expr("substring(begin, length(look) + 1, 1)").rlike(r"\p{N}")
+    pairs = mine.join(other, on).filter(F.col("begin").startswith(F.col("look")) & (F.length("begin") > F.length("look")) & ~other_number)
+    pairs = cut(pairs.select(_same("look").alias("same"), "longer").distinct())
+    held = blocks.select("record_id", F.col("same").alias("longer")).join(pairs, "longer").join(blocks.select("record_id", "same"), ["record_id", "same"], "left_anti")
+    found = blocks.select("record_id", "block_order", "same").join(held.select("same", "longer").distinct(), "same")
+    found = found.join(blocks.select("record_id", F.col("same").alias("longer")), ["record_id", "longer"], "left_anti")
+    return found.join(blocks.select(F.col("same").alias("longer"), F.col("text").alias("other"), F.col("look").alias("other_look")), "longer").select("record_id", "block_order", "other", "other_look").distinct()
 
 
 def _nowhere_later(proofs: DataFrame, records: DataFrame) -> DataFrame:
     """Proofs (record_id, block_order, rest) whose rest, a few misread letters aside, begins no later block of the record."""
-    ids = small_or_shuffled(cut(proofs.select("record_id").distinct()), 16)
+    ids = small_or_shuffled(cut(proofs.select("record_id").distinct()))
     later = records.join(ids, "record_id", "left_semi").select("record_id", F.inline("blocks"))
-    later = later.select("record_id", F.col("order").alias("at"), _look(F.substring(_letters(F.col("text")), 1, NEXT)).alias("begin"))
+    later = later.select("record_id", F.col("order").alias("at"), F.substring(_look(F.col("text")), 1, NEXT).alias("begin"))
     n = F.least(F.length("begin"), F.length("rest"))
     both = F.levenshtein(F.left("begin", n), F.left("rest", n)) * 8 <= n
     found = proofs.join(later, "record_id").filter((F.col("at") > F.col("block_order")) & (n >= F.least(F.lit(8), F.length("rest"))) & both)
     return proofs.join(found.select("record_id", "block_order", "rest").distinct(), ["record_id", "block_order", "rest"], "left_anti")
 
 
-def cut_blocks(records: DataFrame) -> DataFrame:
-    """(record_id, block_order, source, score) of every paragraph and caption judged to be cut."""
-    from leafmill.llm.scans import scorer
-
-    records = drop_redelivered(records.select("record_id", "paper_id", "source", "blocks", "loaded_at"), "record_id", "loaded_at")
-    blocks = cut(prose_blocks(records))
-
-    limits = cut(posteriors(blocks))
-    unit = lambda name: small_or_shuffled(limits.filter(F.col("unit") == name).select("source", "kind", F.col("length").alias(name), F.col("ended").alias("calm"), F.col("posterior").alias(f"by_{name}")))
-    by_bytes, by_chars = unit("bytes"), unit("chars")
-    calm = F.col("ended") | (F.col("leaves") & ~F.col("next_upper"))
-    b = blocks.withColumn("calm", calm).join(by_bytes, ["source", "kind", "bytes", "calm"], "left").join(by_chars, ["source", "kind", "chars", "calm"], "left")
-    # A text that runs on at a length where open texts of its source are censored is judged by those.
-    open_ = lambda name: small_or_shuffled(limits.filter((F.col("unit") == name) & ~F.col("ended")).select("source", "kind", F.col("length").alias(name), F.col("posterior").alias(f"open_{name}")))
-    b = b.join(open_("bytes"), ["source", "kind", "bytes"], "left").join(open_("chars"), ["source", "kind", "chars"], "left")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    own = F.greatest(zero("by_bytes"), zero("by_chars"))
-    b = b.withColumn("posterior", F.when(F.col("ended"), own).otherwise(F.greatest(own, zero("open_bytes"), zero("open_chars"))))
-    doubtful = cut(b.filter(~F.col("ended") | (F.col("posterior") >= 0.5)).drop("calm", "by_bytes", "by_chars", "open_bytes", "open_chars"))
-
-    # Endings in lines of the site, in running heads or in page numbers say nothing about the block's own end.
-    key = lambda line: F.xxhash64(F.lower(_letters(F.regexp_replace(line, r"\p{N}+", ""))))
-    asked = doubtful.filter(~F.col("ended")).withColumn("line", key(F.col("last_line")))
-    keys = small_or_shuffled(cut(asked.select("line").distinct()), 16)
-    text_lines = records.select(F.coalesce("source", F.lit("")).alias("source"), "paper_id", F.inline("blocks")).filter("kind <> 'table' AND (kind IN ('other', 'section_header') OR contains(text, '\n') OR length(text) <= 120)")
-    text_lines = text_lines.select("source", "paper_id", "page", F.explode(F.split("text", "\n")).alias("l")).select("source", "paper_id", "page", key(F.col("l")).alias("line"))
-    seen = cut(text_lines.join(keys, "line", "left_semi").groupBy("source", "paper_id", "line", "page").agg(F.count("*").alias("n")))
-    papers = records.select(F.coalesce("source", F.lit("")).alias("source"), "paper_id").distinct().groupBy("source").agg(F.count("*").alias("source_papers"))
-    site = seen.select("source", "line", "paper_id").distinct().groupBy("source", "line").agg(F.count("*").alias("line_papers")).join(papers, "source")
-    site = site.filter((F.col("line_papers") >= SITE_PAPERS) & (F.col("line_papers") >= SITE_SHARE * F.col("source_papers"))).select("source", "line")
-    head = seen.groupBy("paper_id", "line").agg(F.count_distinct("page").alias("pages")).filter("pages >= 2").select("paper_id", "line")
-    foreign = asked.join(site, ["source", "line"], "left_semi").select("record_id", "block_order").unionByName(asked.filter("lined").join(head, ["paper_id", "line"], "left_semi").select("record_id", "block_order"))
-    foreign = foreign.unionByName(asked.filter(F.trim("last_line").rlike(PAGE_NUMBER) & F.col("lined")).select("record_id", "block_order")).distinct()
-    doubtful = cut(doubtful.join(small_or_shuffled(cut(foreign), 24), ["record_id", "block_order"], "left_anti"))
-
-    # The same block in other records of the paper: first only lengths are compared, texts just where one is longer.
-    groups = blocks.groupBy("same").agg(F.max("letters").alias("most"), F.count_distinct("record_id").alias("held"))
-    every = ["record_id", "block_order", "paper_id", "page", "kind", "start", "same", "letters", "ended"]
-    compared = cut(doubtful.filter(~F.col("ended")).select(every).unionByName(blocks.filter("ended").select(every)))
-    held = cut(compared.select("record_id", "block_order", "same", "letters", "ended").join(groups, "same"))
-    ask = held.filter("most > letters AND held > 1").select("record_id", "block_order", F.col("same").alias("version"))
-    # Texts shorter than the key are beginnings of the keys of their longer versions.
-    shorter = cut(_longer_versions(compared, blocks))
-    ask = cut(ask.unionByName(shorter).distinct())
-    mine = small_or_shuffled(cut(ask.select("record_id", "block_order").distinct()), 24)
-    wanted = small_or_shuffled(cut(ask.select(F.col("version").alias("same")).distinct()), 16)
-    texts = records.select("record_id", "paper_id", F.inline("blocks")).filter(F.col("kind").isin("paragraph", "caption") & (F.trim("text") != ""))
-    texts = texts.withColumn("all", _letters(F.col("text")))
-    texts = texts.select("record_id", F.col("order").alias("block_order"), _same(_look(F.substring("all", 1, SAME_START))).alias("same"), F.length("all").alias("l"), "text")
-    versions = cut(texts.join(wanted, "same", "left_semi").groupBy(F.col("same").alias("version"), F.col("text").alias("other")).agg(F.max("l").alias("other_l")))
-    own = cut(texts.join(mine, ["record_id", "block_order"], "left_semi").select("record_id", "block_order", "l", "text"))
-    extended = own.join(ask, ["record_id", "block_order"]).join(versions, "version").filter("other_l > l")
-    extended = extended.join(compared.select("record_id", "block_order", "ended"), ["record_id", "block_order"])
-    proofs = cut(extended.select("record_id", "block_order", "ended", _goes_on("text", F.array("other")).alias("rest")).filter("rest IS NOT NULL").distinct())
+def longer_versions(blocks: DataFrame, records: DataFrame) -> DataFrame:
+    """(record_id, block_order) of the blocks that another record of the paper holds with more text. All its versions
+    there are asked; a few letters may be misread between them."""
+    id_ = ["record_id", "block_order"]
+    # First only lengths are compared, texts just where one is longer.
+    has = cut(_windows(blocks, "record_id", "letters", "block_order"))
+    most = has.groupBy("key").agg(F.max("letters").alias("most"), F.min("letters").alias("least"), F.count_distinct("record_id").alias("held")).filter("held > 1 AND most > least")
+    asks = _windows(blocks, *id_, "letters", off=(-1, 0, 1)).join(most.drop("least", "held"), "key").filter("most > letters").select(*id_, "key")
+    asks = cut(asks.distinct())
+    wanted = has.join(small_or_shuffled(cut(asks.select("key").distinct())), "key", "left_semi").select("key", *id_)
+    text = blocks.select(*id_, F.col("text").alias("other"), F.col("look").alias("other_look"))
+    versions = text.join(wanted, id_).drop(*id_).distinct()
+    mine = blocks.select(*id_, "look", "letters", "ended")
+    pairs = mine.join(asks, id_).join(versions, "key").drop("key").filter(F.length("other_look") > F.col("letters"))
+    pairs = pairs.unionByName(_beginnings(blocks).join(mine, id_).select(pairs.columns)).distinct()
+    allowed = F.floor(F.col("letters") / MISREAD).cast("int")
+    edits = F.when(F.col("other_look").startswith(F.col("look")), 0).otherwise(F.levenshtein("look", F.expr("left(other_look, letters)")))
+    pairs = pairs.withColumn("edits", edits).filter(F.col("edits") <= allowed)
+    after = cut(pairs.select(*id_, "ended", "edits", _after("look", "other", "edits").alias("a")).select(*id_, "ended", "edits", _look(F.col("a.rest")).alias("rest"), "a.more").filter("rest <> '' AND more > 2 * edits"))
     # What follows a proper end may stand in the record as a block of its own.
-    lost = _nowhere_later(proofs.filter("ended").drop("ended"), records).select("record_id", "block_order")
-    extended = cut(proofs.filter(~F.col("ended")).select("record_id", "block_order").unionByName(lost).distinct())
-
-    captions = blocks.filter("kind = 'caption' AND tail IS NOT NULL")
-    captions = captions.join(foreign, ["record_id", "block_order"], "left_anti")
-    pairs, words = _caption_words(captions)
-    w = _words(F.col("tail"))
-    d = doubtful.withColumn("word", F.when(F.col("kind") == "caption", F.element_at(w, -1))).withColumn("before", F.when((F.col("kind") == "caption") & (F.size(w) >= 2), F.get(w, F.size(w) - 2)))
-    d = d.join(small_or_shuffled(cut(words.select("word", F.col("n").alias("word_n"), F.col("ends").alias("word_e"), "longer"))), "word", "left")
+    lost = _nowhere_later(after.filter("ended").select(*id_, "rest").distinct(), records).select(*id_)
+    return cut(after.filter(~F.col("ended")).select(*id_).unionByName(lost).distinct())
+
+
+def foreign_endings(blocks: DataFrame, records: DataFrame) -> DataFrame:
+    """(record_id, block_order) of the open blocks that end in a line of the site, a running head or a page number; that
+    says nothing about the block's own end."""
+    id_ = ["record_id", "block_order"]
+    asked = cut(blocks.filter(~F.col("ended")).select(*id_, "source", "paper_id", "line", "lined", "numbered"))
+    keys = small_or_shuffled(cut(asked.select("line").distinct()))
+    site = F.coalesce("source", F.lit("")).alias("source")
+    lines = records.select(site, "paper_id", F.inline("blocks")).filter("kind <> 'table'")
+    lines = lines.select("source", "paper_id", "page", F.explode(F.split("text", "\n")).alias("l")).select("source", "paper_id", "page", _line(F.col("l")).alias("line"))
+    seen = cut(lines.join(keys, "line", "left_semi").distinct())
+    papers = records.select(site, "paper_id").distinct().groupBy("source").agg(F.count("*").alias("source_papers"))
+    often = seen.select("source", "line", "paper_id").distinct().groupBy("source", "line").agg(F.count("*").alias("line_papers")).join(papers, "source")
+    often = often.filter((F.col("line_papers") >= SITE_PAPERS) & (F.col("line_papers") >= SITE_SHARE * F.col("source_papers"))).select("source", "line")
+    head = seen.groupBy("paper_id", "line").agg(F.count_distinct("page").alias("pages")).filter("pages >= 2").select("paper_id", "line")
+    out = asked.join(often, ["source", "line"], "left_semi").select(*id_)
+    out = out.unionByName(asked.filter("lined").join(head, ["paper_id", "line"], "left_semi").select(*id_))
+    return cut(out.unionByName(asked.filter("lined AND numbered").select(*id_)).distinct())
+
+
+def _with_endings(blocks: DataFrame, doubtful: DataFrame) -> DataFrame:
+    """``doubtful`` blocks with the features of their endings; captions are judged by all whole captions' words."""
+    words = F.filter(F.split(F.lower(F.col("form")), r"[^\p{L}\p{N}'’₀-₉⁰-⁹-]+"), lambda w: w != "")
+    captions = blocks.filter("kind = 'caption'").withColumn("form", one_form(F.col("text"))).select("record_id", "block_order", words.alias("w"))
+    captions = cut(captions)
+    pairs, single = _caption_words(captions)
+    ends = captions.filter(F.size("w") > 0).select("record_id", "block_order", F.element_at("w", -1).alias("word"), F.when(F.size("w") >= 2, F.get("w", F.size("w") - 2)).alias("before"))
+    d = doubtful.join(ends, ["record_id", "block_order"], "left")
+    d = d.join(small_or_shuffled(cut(single.select("word", F.col("n").alias("word_n"), F.col("ends").alias("word_e"), "longer"))), "word", "left")
     d = d.join(small_or_shuffled(cut(pairs.select("before", "word", F.col("n").alias("pair_n"), F.col("ends").alias("pair_e")))), ["before", "word"], "left")
-    zeros = ["word_n", "word_e", "longer", "pair_n", "pair_e"]
-    d = d.na.fill(0, zeros).join(extended.withColumn("longer_text", F.lit(True)), ["record_id", "block_order"], "left")
-    longest = held.filter("held > 1").join(shorter.select("record_id", "block_order").distinct().withColumn("_longer", F.lit(True)), ["record_id", "block_order"], "left")
-    longest = longest.select("record_id", "block_order", ((F.col("letters") == F.col("most")) & F.col("_longer").isNull()).alias("as_long"))
-    d = d.join(longest, ["record_id", "block_order"], "left")
+    d = d.na.fill(0, ["word_n", "word_e", "longer", "pair_n", "pair_e"])
     log = lambda c: F.log1p(F.col(c).cast("double"))
     values = {
         "paragraph": F.col("kind") == "paragraph",
         "marked": F.col("marked"),
-        "posterior": F.col("posterior"),
         "leaves": F.col("leaves"),
         "next_lower": F.col("next_lower") & F.col("leaves"),
         "next_upper": F.col("next_upper") & F.col("leaves"),
-        "ascii_end": F.coalesce(F.col("tail").rlike(r"[\x21-\x7E]$"), F.lit(False)),
-        "letter_end": F.coalesce(F.col("tail").rlike(r"[\p{L}\p{N}]$"), F.lit(False)),
+        "ascii_end": F.col("ascii_end"),
+        "letter_end": F.col("letter_end"),
+        "space_end": F.col("space_end"),
         "log_word": log("word_n"),
         "log_longer": log("longer"),
         "word_ends": (F.col("word_e") + 0.2) / (F.col("word_n") + 1),
@@ -337,26 +339,59 @@ def cut_blocks(records: DataFrame) -> DataFrame:
         "log_pair": log("pair_n"),
         "lined": F.col("lined"),
     }
-    d = d.withColumns({f"f_{k}": v.cast("float") for k, v in values.items()})
-    d = cut(d.select("record_id", "block_order", "source", "kind", "ended", "posterior", "leaves", "next_upper", F.coalesce("longer_text", F.lit(False)).alias("longer_text"), "as_long", *[f"f_{k}" for k in FEATURES]))
-    features = [F.col(f"f_{k}").alias(k) for k in FEATURES]
+    return d.withColumns({f"f_{k}": values[k].cast("float") for k in FEATURES})
+
+
+def _odds(p: Column) -> Column:
+    p = F.least(F.greatest(p, F.lit(1e-3)), F.lit(1 - 1e-3))
+    return p / (1 - p)
+
+
+def cut_blocks(records: DataFrame) -> DataFrame:
+    """(record_id, block_order, source, kind, score) of every paragraph and caption judged to be cut."""
+    id_ = ["record_id", "block_order"]
+    records = drop_redelivered(records.select("record_id", "paper_id", "source", "blocks", "loaded_at"), "record_id", "loaded_at")
+    blocks = cut(prose_blocks(records))
+
+    limits = cut(posteriors(blocks))
+    b = blocks.drop("text", "look")
+    for unit in ("bytes", "chars"):
+        at = limits.filter(F.col("unit") == unit).select("source", "kind", F.col("length").alias(unit), "ending", F.col("posterior").alias(f"by_{unit}"))
+        b = b.join(small_or_shuffled(cut(at)), ["source", "kind", unit, "ending"], "left")
+    b = b.withColumn("posterior", F.greatest(F.coalesce("by_bytes", F.lit(0.0)), F.coalesce("by_chars", F.lit(0.0)))).drop("by_bytes", "by_chars")
+
+    proven = longer_versions(blocks, records).withColumn("proven", F.lit(True))
+    versions = blocks.groupBy("same").agg(F.max("letters").alias("most"), F.count_distinct("record_id").alias("held"))
+    b = b.join(versions, "same").join(small_or_shuffled(proven), id_, "left")
+    b = b.withColumn("proven", F.coalesce("proven", F.lit(False))).withColumn("shown", (F.col("held") > 1) & ((F.col("letters") == F.col("most")) | F.col("proven")))
+    b = cut(b.join(small_or_shuffled(foreign_endings(blocks, records)), id_, "left_anti"))
+
+    d = _with_endings(blocks, b.filter("NOT ended"))
+    keep = [*id_, "source", "kind", "posterior", "proven", "shown"]
+    d = cut(d.select(*keep, *[f"f_{k}" for k in FEATURES]))
     # A block as long as its longest version is whole, unless all versions were cut at one limit.
-    labelled = d.filter(~F.col("ended") & (F.col("longer_text") | (F.col("as_long") & (F.col("posterior") < 0.5))))
-    model = _train(labelled.select(F.col("longer_text").cast("int").alias("label"), *features))
-    if model is not None:
-        score = scorer(model)(F.array(*[F.col(f"f_{k}") for k in FEATURES]))
-    else:
-        score = F.when((F.col("kind") == "paragraph") & ~(F.col("leaves") & ~F.col("next_upper")), 0.9).otherwise(F.greatest("posterior", F.col("f_marked").cast("double")))
-    d = d.withColumn("score", F.when(F.col("longer_text"), 1.0).when(F.col("ended"), F.when(F.coalesce(F.col("as_long"), F.lit(False)), 0.0).otherwise(F.col("posterior"))).otherwise(score))
-    proven = blocks.filter("ended").join(extended, ["record_id", "block_order"], "left_semi").select("record_id", "block_order", "source", "kind", F.lit(1.0).alias("score"))
-    out = d.filter("score >= 0.5").select("record_id", "block_order", "source", "kind", "score").unionByName(proven)
-    return out.dropDuplicates(["record_id", "block_order"])
-
-
-def _train(sample: DataFrame) -> Boosted | None:
-    from leafmill.llm.scans import train
-
-    return train(sample)
+    labelled = d.filter((F.col("posterior") < 0.5) & (F.col("shown") | F.col("proven")))
+    model = train(labelled.select(F.col("proven").cast("int").alias("label"), *[F.col(f"f_{k}").alias(k) for k in FEATURES]), SEEDS)
+
+    # One row of rates: of labelled endings, of properly ended texts, and of proofs where the length says that a text was cut.
+    rates = b.agg(
+        F.count_if(F.expr("NOT ended AND posterior < 0.5 AND proven")).alias("open_cut"),
+        F.count_if(F.expr("NOT ended AND posterior < 0.5 AND (shown OR proven)")).alias("open"),
+        F.count_if(F.expr("ended AND posterior < 0.5 AND proven")).alias("ended_cut"),
+        F.count_if(F.expr("ended AND posterior < 0.5 AND (shown OR proven)")).alias("ended"),
+        F.count_if(F.expr("NOT ended AND posterior >= 0.9 AND proven")).alias("limit_proven"),
+        F.count_if(F.expr("NOT ended AND posterior >= 0.9 AND (shown OR proven)")).alias("limit"),
+    ).head()
+    share = lambda a, n: (rates[a] + 0.5) / (rates[n] + 1)
+    base, told = share("open_cut", "open"), share("limit_proven", "limit")
+    others = F.when(F.col("proven"), told / PROOF_ERROR).when(F.col("shown"), 1 - told).otherwise(1.0)
+    here = F.when(F.col("posterior") > 0, _odds(F.col("posterior")))
+    ending = _odds(scorer(model)(F.array(*[F.col(f"f_{k}") for k in FEATURES])))
+    # The model's labels are rows away from limits: there its odds are the class's times the ending's.
+    d = d.withColumn("odds", F.greatest(F.coalesce(here * (1 - base) / base, F.lit(0.0)), F.lit(1.0)) * ending * others)
+    e = b.filter("ended").withColumn("odds", F.greatest(F.coalesce(here, F.lit(0.0)), F.lit(share("ended_cut", "ended"))) * others)
+    out = d.select(*keep, "odds").unionByName(e.select(*keep, "odds")).filter("odds >= 1")
+    return out.select(*id_, "source", "kind", (F.col("odds") / (1 + F.col("odds"))).alias("score"))
 
 
 def shares(records: DataFrame) -> DataFrame:

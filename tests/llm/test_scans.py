@@ -103,3 +103,34 @@ def test_weights_are_copies():
     x, y, w = [[r.random(), float(r.randrange(3))] for _ in range(80)], [r.randrange(2) for _ in range(80)], [r.randrange(1, 5) for _ in range(80)]
     rows = [i for i, n in enumerate(w) for _ in range(n)]
     assert Boosted().fit(x, y, w).predict(x) == pytest.approx(Boosted().fit([x[i] for i in rows], [y[i] for i in rows]).predict(x))
+
+
+def test_ranking_chooses_one_of_a_word_or_none():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x, y, g = [], [], []
+    for i in range(400):
+        good, others = i % 3 > 0, rng.random(3)
+        x += [[0.9 if good else 0.2, 1.0], *[[v * 0.4, 0.0] for v in others]]
+        y += [int(good), 0, 0, 0]
+        g += [i] * 4
+    s = Boosted().fit(np.array(x), np.array(y), groups=np.array(g)).scores(np.array([[0.9, 1.0], [0.2, 0.0], [0.2, 1.0]]))
+    p = np.exp(s[0]) / (1 + np.exp(s[0]) + np.exp(s[1]))
+    assert p > 0.9 and np.exp(s[2]) < 1
+
+
+def test_a_number_that_stands_once_is_judged_by_its_place(records, spark):
+    text = "the vessel was warmed slowly and its growth was read"
+    rows = [{"record_id": 1, "paper_id": "p", "source": "s", "blocks": [block(text, "paragraph", 1, 0), block("17", "other", 1, 1), block(text + "\n42\n" + text, "paragraph", 2, 2), block(text + " once more.", "paragraph", 2, 3)]}]
+    got = noise(records(*rows), spark.createDataFrame([("p.pdf", True)], "filename STRING, scanned BOOLEAN"))
+    assert {tuple(r) for r in got.collect() if r.noise == "page_no"} == {(1, 1, "page_no")}
+
+
+def test_fragments_of_cut_words_are_not_misread(case):
+    r, m, _ = case
+    import pyspark.sql.functions as F
+
+    cut = F.transform("blocks", lambda b: b.withField("text", F.when((b["kind"] == "paragraph") & (b["page"] == 3), F.regexp_replace(b["text"], r"\S{3}\.$", "")).otherwise(b["text"])))
+    got = {(x.record_id, x.block_order) for x in noise(r.filter("record_id = 0").withColumn("blocks", cut).unionByName(r.filter("record_id <> 0")), m).collect() if x.noise == "misread"}
+    assert got <= {(x.record_id, x.block_order) for x in noise(r, m).collect() if x.noise == "misread"}

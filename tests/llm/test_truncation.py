@@ -68,5 +68,23 @@ def test_every_version_and_short_beginnings_are_asked(records):
     alike = whole[:90].replace("e", "е")
     first, rest = "Зернистый реактор снизил объём пены по всей высоте колонны.", " После каждого сбора он ограничил рост клеток."
     got = cut_blocks(records(record(1, alike, short[:30], first, rest), record(2, whole, short, first + rest), record(3, misread, short))).collect()
-    assert {(r.record_id, r.block_order, r.score) for r in got} >= {(1, 0, 1.0), (1, 1, 1.0)}
+    assert {(r.record_id, r.block_order) for r in got if r.score > 0.99} >= {(1, 0), (1, 1)}
     assert not {(2, 1), (3, 1), (1, 2)} & {(r.record_id, r.block_order) for r in got}
+
+
+def test_long_lines_of_the_site_end_no_block(records):
+    site = "This article is distributed under an open licence which permits any use in any medium as long as the source is named and every change is shown to the reader"
+    text = lambda i: f"Paper {i} was read with great care and nothing else was found in it.\n{site}"
+    rows = [{"record_id": i, "paper_id": f"p{i}", "source": "s", "blocks": [block(text(i), order=0), block(site, order=1), block(f"The {chr(97 + i) * 5} sample was cut in the mid", order=2)]} for i in range(12)]
+    assert {r.block_order for r in cut_blocks(records(*rows)).collect()} == {2}
+
+
+def test_a_text_that_runs_on_at_a_limit_is_whole(records):
+    r, rows = random.Random(3), []
+    words = ["flow", "cells", "growth", "reactor", "vessel", "slowly", "heat"]
+    for i in range(80):
+        long = f"Paper {i} " + " ".join(r.choice(words) for _ in range(60))
+        on = long[:99].rstrip() + "s" * (100 - len(long[:99].rstrip())) if i % 40 == 0 else f"Paper {i} runs on " + " ".join(r.choice(words) for _ in range(r.randrange(6, 20)))
+        rows.append({"record_id": i, "paper_id": f"p{i}", "source": "s", "blocks": [block(long[:100], order=0), block("A whole one stands here.", order=1), block(on, order=2), block("where it goes on at once.", page=2, order=3)]})
+    got = {(x.record_id, x.block_order) for x in cut_blocks(records(*rows)).collect()}
+    assert len({g for g in got if g[1] == 0}) > 75 and not {g for g in got if g[1] != 0}
