@@ -13,12 +13,14 @@ reach its share even with all repeats is used that often; what is missing goes t
 
 Defined cases: null and empty texts have no tokens and are in no block; sources without a target stay out; a target
 without documents, without a share or with a null source gets nothing; a null ``max_repeats`` is 1; of several targets for
-one source the largest share counts; without any tokens the mix is empty. A source's last block may be shorter.
+one source the largest share counts; without any tokens the mix is empty. The last block of a source's
+bucket may be shorter.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,8 @@ from leafmill.session import cut, small_or_shuffled
 
 #: Tokens of a block, slots of a shard, tokens of the documents whose places are summed up in one task.
 BLOCK, SHARD, BUCKET = 512, 4096, 2_000_000
+#: Totals below which the generator draws itself.
+RANGE = 900_000_000
 SEED = 17
 
 
@@ -51,18 +55,32 @@ def quotas(tokens: dict[str, int], targets: dict[str, tuple[float, int]], total:
     return out
 
 
-def _draw(rng: np.random.Generator, counts: np.ndarray, n: int) -> np.ndarray:
-    """How many of each source are among ``n`` slots drawn from ``counts`` without replacement."""
-    total = int(counts.sum())
-    if total < 900_000_000:
-        return rng.multivariate_hypergeometric(counts, n, method="marginals")
-    # Beyond the generator's range the relative spread is below 1e-4: proportional parts, remainders drawn.
-    exact = counts * (n / total)
-    out = np.floor(exact).astype(np.int64)
-    left = n - int(out.sum())
-    room = np.flatnonzero(out < counts)
-    out[rng.choice(room, left, replace=False, p=None if left == len(room) else (exact - out)[room] / (exact - out)[room].sum())] += 1
-    return out
+def _hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """How many of ``n`` draws without replacement are good. Beyond the generator's range the same distribution is inverted
+    over its whole mass: chances relative to the mode's, by their exact ratios, 12 standard deviations either way."""
+    total = good + bad
+    if total < RANGE:
+        return int(rng.hypergeometric(good, bad, n))
+    lo, hi = max(0, n - bad), min(n, good)
+    mode = (n + 1) * (good + 1) // (total + 2)
+    reach = int(12 * (n * (good / total) * (bad / total) * ((total - n) / (total - 1))) ** 0.5) + 12
+    a, b = max(lo, mode - reach), min(hi, mode + reach)
+    k = np.arange(a, b, dtype=np.float64)
+    log = np.concatenate([[0.0], np.cumsum(np.log(good - k) + np.log(n - k) - np.log(k + 1) - np.log(bad - n + k + 1))])
+    upto = np.cumsum(np.exp(log - log.max()))
+    return a + int(np.searchsorted(upto, rng.random() * upto[-1], side="right"))
+
+
+@lru_cache(1 << 12)
+def _draw(seed: int, lo: int, hi: int, counts: tuple[int, ...], n: int) -> tuple[int, ...]:
+    """How many of each source are among ``n`` slots drawn from ``counts`` without replacement, source by source; the
+    draws of the upper levels are the same for all shards and kept."""
+    rng, rest, out = np.random.default_rng([seed, lo, hi]), sum(counts), []
+    for c in counts:
+        rest -= c
+        out.append(n if rest == 0 else _hypergeometric(rng, c, rest, n) if c and n else 0)
+        n -= out[-1]
+    return tuple(out)
 
 
 def shard_counts(counts: np.ndarray, shard: int, shards: int, slots: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
@@ -72,7 +90,7 @@ def shard_counts(counts: np.ndarray, shard: int, shards: int, slots: int, seed:
     while hi - lo > 1:
         mid = (lo + hi) // 2
         first = min(mid * slots, total) - lo * slots
-        left = _draw(np.random.default_rng([seed, lo, hi]), here, first)
+        left = np.array(_draw(seed, lo, hi, tuple(here.tolist()), first), np.int64)
         if shard < mid:
             here, hi = left, mid
         else:
@@ -108,33 +126,36 @@ def permute(index: np.ndarray, size: int, key: int) -> np.ndarray:
 
 
 def packed(documents: DataFrame, targets: DataFrame, block: int = BLOCK, vocabulary: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
-    """(pieces, totals): the documents' tokens cut at block boundaries (source, block, place, doc_id, ids), and of each
-    source the number of its documents and tokens.
+    """(blocks, totals): the blocks of each source (source, block, doc_ids, ids), and of each source the number of its
+    documents, tokens and blocks.
 
-    A document's place is the sum of the tokens before it in its source. Sources are split into buckets by hash, so that
-    no task holds more than about BUCKET tokens of sizes; buckets are summed up alone.
+    Sources are split into buckets by hash, so that no task holds more than about BUCKET tokens; in a bucket a document's
+    place is the sum of the tokens before it, and blocks are numbered on from bucket to bucket. Each text is encoded once,
+    and its tokens cross the network once before they are in their blocks.
     """
-    docs = documents.join(small_or_shuffled(cut(targets.select("source"))), "source")
-    docs = cut(with_ids(docs.select("source", "doc_id", "text"), vocabulary=vocabulary).select("source", "doc_id", "ids", F.size("ids").cast("bigint").alias("n")).filter("n > 0"))
-    totals = cut(docs.groupBy("source").agg(F.count("*").alias("documents"), F.sum("n").alias("tokens")))
-    sized = docs.select("source", "doc_id", "n", F.xxhash64("doc_id", F.lit(SEED)).alias("h"))
-    sized = sized.join(small_or_shuffled(totals.select("source", F.ceil(F.col("tokens") / BUCKET).alias("buckets"))), "source")
+    docs = documents.join(small_or_shuffled(cut(targets.select("source"))), "source").filter(F.length("text") > 0)
+    docs = cut(with_ids(docs.select("source", "doc_id", "text"), vocabulary=vocabulary).select("source", "doc_id", "ids", F.size("ids").cast("bigint").alias("n")))
+    totals = docs.groupBy("source").agg(F.count("*").alias("documents"), F.sum("n").alias("tokens"))
+    totals = cut(totals.withColumn("buckets", F.ceil(F.col("tokens") / BUCKET)))
+    sized = docs.withColumn("h", F.xxhash64("doc_id", F.lit(SEED))).join(small_or_shuffled(totals.select("source", "buckets")), "source")
     sized = sized.withColumn("bucket", F.pmod(F.shiftright("h", 8), F.col("buckets"))).drop("buckets")
-    sums = sized.groupBy("source", "bucket").agg(F.sum("n").alias("bucket_tokens"))
-    ahead = F.sum("bucket_tokens").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    sums = cut(sums.select("source", "bucket", F.coalesce(ahead, F.lit(0)).alias("ahead")))
-    inner = F.sum("n").over(Window.partitionBy("source", "bucket").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    begins = sized.withColumn("upto", inner).join(small_or_shuffled(sums), ["source", "bucket"])
-    begins = begins.select("source", "doc_id", (F.col("ahead") + F.col("upto") - F.col("n")).alias("begin"))
-    placed = docs.join(begins, ["source", "doc_id"])
+    sums = sized.groupBy("source", "bucket").agg(F.ceil(F.sum("n") / block).alias("blocks"))
+    ahead = F.sum("blocks").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    sums = cut(sums.select("source", "bucket", "blocks", F.coalesce(ahead, F.lit(0)).alias("ahead")))
+    totals = totals.drop("buckets").join(sums.groupBy("source").agg(F.sum("blocks").alias("blocks")), "source")
+    upto = F.sum("n").over(Window.partitionBy("source", "bucket").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    placed = sized.withColumn("begin", upto - F.col("n"))
     pieces = placed.withColumn("block", F.explode(F.expr(f"sequence(begin div {block}, (begin + n - 1) div {block})")))
     first = F.greatest(F.col("block") * block - F.col("begin"), F.lit(0))
     last = F.least(F.col("n"), (F.col("block") + 1) * block - F.col("begin"))
-    pieces = pieces.select("source", "block", (F.col("begin") + first).alias("place"), "doc_id", F.slice("ids", (first + 1).cast("int"), (last - first).cast("int")).alias("ids"))
-    return pieces, totals
+    piece = F.struct((F.col("begin") + first).alias("place"), "doc_id", F.slice("ids", (first + 1).cast("int"), (last - first).cast("int")).alias("ids"))
+    # A block is at most ``block`` tokens, so its group is bounded; its pieces stand in one partition already.
+    blocks = pieces.groupBy("source", "bucket", "block").agg(F.sort_array(F.collect_list(piece)).alias("p"))
+    blocks = blocks.join(small_or_shuffled(sums.drop("blocks")), ["source", "bucket"])
+    return blocks.select("source", (F.col("ahead") + F.col("block")).alias("block"), F.transform("p", lambda x: x["doc_id"]).alias("doc_ids"), F.flatten(F.transform("p", lambda x: x["ids"])).alias("ids")), totals
 
 
-def plan(totals: DataFrame, targets: DataFrame, total: int | None = None, block: int = BLOCK) -> list[dict]:
+def plan(totals: DataFrame, targets: DataFrame, total: int | None = None) -> list[dict]:
     """Of each target: available tokens and blocks, and slots in the mix. One row for each target; the table of targets is
     a setting, not data."""
     want = {r["source"]: (r["target_share"], r["max_repeats"]) for r in targets.collect()}
@@ -144,7 +165,7 @@ def plan(totals: DataFrame, targets: DataFrame, total: int | None = None, block:
     out = []
     for s in sorted(want):
         n = tokens.get(s, 0)
-        blocks = -(-n // block)
+        blocks = have[s]["blocks"] if n else 0
         # A slot gives a block's mean size; the last block may be short.
         slots = min(round(share[s] / (n / blocks)), blocks * want[s][1]) if n else 0
         out.append({"source": s, "target_share": want[s][0], "max_repeats": want[s][1], "documents": have[s]["documents"] if s in have else 0, "tokens": n, "blocks": blocks, "slots": slots})
@@ -187,12 +208,8 @@ def clean_targets(targets: DataFrame) -> DataFrame:
 def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, block: int = BLOCK, per_shard: int = SHARD, seed: int = SEED, vocabulary: str = VOCABULARY) -> DataFrame:
     """(shard, slot, source, block, repeat, doc_ids, ids): the mix in its order, by (shard, slot)."""
     targets = clean_targets(targets)
-    pieces, totals = packed(documents, targets, block, vocabulary)
-    rows = plan(totals, targets, total, block)
-    # A block is at most ``block`` tokens, so its group is bounded; a hot source has many blocks, no hot key.
-    sorted_ = F.sort_array(F.collect_list(F.struct("place", "doc_id", "ids")))
-    blocks = pieces.groupBy("source", "block").agg(sorted_.alias("p"))
-    blocks = blocks.select("source", "block", F.transform("p", lambda x: x["doc_id"]).alias("doc_ids"), F.flatten(F.transform("p", lambda x: x["ids"])).alias("ids"))
+    blocks, totals = packed(documents, targets, block, vocabulary)
+    rows = plan(totals, targets, total)
     return slots(documents.sparkSession, rows, per_shard, seed).join(blocks, ["source", "block"]).select("shard", "slot", "source", "block", "repeat", "doc_ids", "ids")
 
 

@@ -80,3 +80,34 @@ def test_empty(spark):
     t = spark.createDataFrame([("a", 1.0, 2)], "source STRING, target_share DOUBLE, max_repeats INT")
     assert M.mix(d, t).count() == 0 and M.report(M.mix(d, t), t).head().mix_tokens == 0
     assert M.mix(d, t.limit(0)).count() == 0
+
+
+def test_draws_beyond_the_generators_range(monkeypatch):
+    rng = np.random.default_rng(5)
+    want = rng.hypergeometric(300, 500, 120, 20_000)
+    monkeypatch.setattr(M, "RANGE", 0)
+    got = np.array([M._hypergeometric(rng, 300, 500, 120) for _ in range(20_000)])
+    a, b = (np.bincount(x, minlength=130)[20:70] / len(x) for x in (got, want))
+    assert abs(got.mean() - 45) < 0.2 and np.abs(np.cumsum(a) - np.cumsum(b)).max() < 0.02
+    big = M._hypergeometric(rng, 3 * 10**11, 7 * 10**11, 5 * 10**11)
+    assert abs(big - 1.5 * 10**11) < 6 * (10**12 * 0.3 * 0.7 / 4) ** 0.5
+    assert [M._hypergeometric(rng, *x) for x in ((10, 0, 4), (0, 10, 4), (10, 5, 15))] == [4, 0, 10]
+
+
+def test_texts_are_encoded_once_and_tokens_cross_once(spark, monkeypatch):
+    monkeypatch.setattr(M, "BUCKET", 500)
+    d = spark.createDataFrame([(i, f"some text {i} " * 20, "ab"[i % 3 == 0]) for i in range(90)], "doc_id BIGINT, text STRING, source STRING")
+    t = spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 2)], "source STRING, target_share DOUBLE, max_repeats INT")
+    calls = []
+    monkeypatch.setattr(M, "cut", lambda df, f=M.cut: calls.append(df._jdf.queryExecution().optimizedPlan().toString()) or f(df))
+    blocks, totals = M.packed(d, M.clean_targets(t), 16)
+    assert sum(p.count("ArrowEvalPython") for p in calls) == 1
+    rows = blocks.collect()
+    assert "ArrowEvalPython" not in (plan := blocks._jdf.queryExecution().executedPlan().toString())
+    final = plan.split("== Initial Plan ==")[0]
+    assert final.count("Exchange hashpartitioning(source") == 1
+    have = {r.source: r for r in totals.collect()}
+    for s in "ab":
+        mine = sorted(r.block for r in rows if r.source == s)
+        assert mine == list(range(have[s].blocks)) and sum(len(r.ids) for r in rows if r.source == s) == have[s].tokens
+    assert sorted({i for r in rows for i in r.doc_ids}) == list(range(90)) and have["a"].blocks > -(-have["a"].tokens // 16)
