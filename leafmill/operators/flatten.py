@@ -3,7 +3,7 @@
 ``merged_schema`` infers one schema from JSON texts that differ in their fields. ``flatten_nested`` walks a
 schema and makes one child table of each array level: the record's key, the 0-based ordinals of all levels down to the
 child (together its surrogate key; all but the last are its parent's) and the scalar fields. ``child_keys`` gives only
-those keys, for all tables at once, from one pass over the records.
+those keys, for all tables at once.
 
 Defined cases: a null or empty array has no children; a null element is a child whose fields are null; a null row of an
 array of arrays has no cells; fields missing in the schema are absent; a field that clashes with a key column gets the
@@ -14,10 +14,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from leafmill.session import one_per_key
+from leafmill.session import drop_redelivered
 
 ORDINALS = ("i", "j", "k", "l", "m", "n")
 
@@ -70,10 +71,22 @@ def levels(schema: T.StructType, keep: Iterable[str] = (), skip: Iterable[str] =
     return out
 
 
-def _explode(df: DataFrame, value: Column, nested: int, first: int, carried: list[str]) -> DataFrame:
-    for n in range(nested):
-        df = df.select(*carried, F.posexplode(value if n == 0 else F.col("_v")).alias(ORDINALS[first + n], "_v"))
-        carried = [*carried, ORDINALS[first + n]]
+def _inside(value: Column, path: tuple[str, ...]) -> Column:
+    for p in path:
+        value = value.getField(p)
+    return value
+
+
+def exploded(df: DataFrame, key: str, chain: list[Level], *keep: Column) -> DataFrame:
+    """(key, *keep, ordinals, _v): the elements of the last level of ``chain``, each level exploded from its parent's."""
+    carried, depth, first = [F.col(f"`{key}`"), *keep], 0, True
+    for lv in chain:
+        value = F.col(".".join(f"`{p}`" for p in lv.path)) if first else _inside(F.col("_v"), lv.path)
+        for n in range(lv.nested):
+            df = df.select(*carried, F.posexplode(value if n == 0 else F.col("_v")).alias(ORDINALS[depth], "_v"))
+            depth += 1
+            carried = [F.col(f"`{c}`") for c in df.columns if c != "_v"]
+        first = False
     return df
 
 
@@ -85,20 +98,9 @@ def flatten_nested(df: DataFrame, key: str, keep: Iterable[str] = (), skip: Iter
     found = levels(df.schema, keep, skip)
     tops = {x.path[0] for x in found if x.parent is None}
     out = {"": df.select(key, *[f"`{c}`" for c in df.columns if c not in tops and c != key])}
-    by = {x.name: x for x in found}
     for x in found:
-        chain, at = [], x
-        while at is not None:
-            chain, at = [at, *chain], by.get(at.parent) if at.parent else None
-        t, carried, depth = df, [f"`{key}`"], 0
-        for n, lv in enumerate(chain):
-            value = F.col(".".join(f"`{p}`" for p in lv.path)) if n == 0 else F.col("_v")
-            if n:
-                for p in lv.path:
-                    value = value.getField(p)
-            t = _explode(t, value, lv.nested, depth, carried)
-            carried = [f"`{key}`", *ORDINALS[: lv.depth]]
-            depth = lv.depth
+        t, depth = exploded(df, key, _chain(found, x)), x.depth
+        carried = [f"`{key}`", *ORDINALS[:depth]]
         taken = {key.lower(), *ORDINALS[:depth]}
         if isinstance(x.element, T.StructType):
             nested_here = {c.path[0] for c in found if c.parent == x.name}
@@ -110,83 +112,56 @@ def flatten_nested(df: DataFrame, key: str, keep: Iterable[str] = (), skip: Iter
     return out
 
 
-KEY_ROWS = "array<struct<child:string,i:int,j:int,k:int>>"
-
-
-def _rows(rows: Column) -> Column:
-    """An array of key rows, never null."""
-    return F.coalesce(rows, F.array().cast(KEY_ROWS))
-
-
-def _row(child: str, places: list[Column]) -> Column:
-    at = [*places, *[F.lit(-1)] * 3][:3]
-    return F.struct(F.lit(child).alias("child"), *[a.cast("int").alias(n) for a, n in zip(at, "ijk")])
-
-
-def _expand(value: Column, nested: int, places: list[Column], leaf) -> Column:
-    """``leaf(element, ordinals)`` of every element ``nested`` levels down, as one flat array."""
-    if nested == 1:
-        return _rows(F.transform(value, lambda x, n: leaf(x, [*places, n])))
-    return _rows(F.flatten(F.transform(value, lambda x, n: _expand(x, nested - 1, [*places, n], leaf))))
-
-
-def _column(path: str | tuple[str, ...]) -> Column:
-    return F.col(".".join(f"`{p}`" for p in (path.split(".") if isinstance(path, str) else path)))
+def _chain(found: list[Level], x: Level) -> list[Level]:
+    """A level with its parents, the topmost first."""
+    by, chain = {y.name: y for y in found}, [x]
+    while chain[0].parent:
+        chain = [by[chain[0].parent], *chain]
+    return chain
 
 
 def child_keys(
     df: DataFrame, key: str, names: dict[str, str], single: dict[str, str] | None = None, refs: dict[str, tuple[str, str]] | None = None
 ) -> DataFrame:
-    """(key, child, i, j, k) of every child row of the levels in ``names`` (path -> child name), unused places -1.
-
-    ``single`` names arrays that are one value of their parent, a child only where they aren't null. ``refs`` gives, by
-    the path of an array of references, the path of the numbers they point at and a child name: reference j of row i is
-    a child with k = its number if that number exists in the record; null references and those without a target have no
-    row. The keys of one record are made as one array and inlined: records are read once and nothing is shuffled.
+    """(key, child, i, j, k) of every child row of the array levels found in the schema, by recursive explosion: each level
+    explodes its parent's rows and carries the record's key and all ordinals down to its own. Unused places are -1.
+
+    ``names`` gives the levels' child names (path -> name); levels without one are no tables of their own. ``single`` names
+    arrays that are one value of their parent, a child only where they aren't null. ``refs`` gives, by the path of an array
+    of references, the path of the numbers they point at and a child name: reference j of row i is a child with k = its
+    number if that number exists in the record; null references and those without a target have no row. Nothing is
+    shuffled; of each level only what tells its rows apart is read.
     """
     single, refs = single or {}, refs or {}
-    by = {x.name: x for x in levels(df.schema, keep=single)}
+    found = levels(df.schema)
     parts = []
-    for path, child in names.items():
-        x = by[path]
-        up = by[x.parent] if x.parent else None
-        value = _column((*up.path, *x.path) if up else x.path)
-        parts.append(_expand(value, x.nested + (up.nested if up else 0), [], lambda _, at, c=child: _row(c, at)))
-    for path, child in single.items():
-        parts.append(_rows(F.filter(_expand(_column(path), 1, [], lambda v, at, c=child: F.when(v.isNotNull(), _row(c, at))), lambda r: r.isNotNull())))
-    for path, (to, child) in refs.items():
-        numbers = _column(to)
-
-        def hit(v: Column, at: list[Column], c: str = child, numbers: Column = numbers) -> Column:
+
+    def part(rows: DataFrame, child: str, places: list[str]) -> None:
+        at = [*[F.col(p) for p in places], *[F.lit(-1)] * 3][:3]
+        parts.append(rows.select(key, F.lit(child).alias("child"), *[a.cast("int").alias(n) for a, n in zip(at, "ijk")]))
+
+    for x in found:
+        if x.name in names:
+            part(exploded(df, key, _chain(found, x)), names[x.name], list(ORDINALS[: x.depth]))
+        elif x.name in single:
+            rows = exploded(df, key, _chain(found, x)[:-1])
+            part(rows.filter(_inside(F.col("_v"), x.path).isNotNull()), single[x.name], list(ORDINALS[: x.depth - 1]))
+        elif x.name in refs:
+            to, child = refs[x.name]
+            numbers = F.col(".".join(f"`{p}`" for p in to.split(".")))
+            rows = exploded(df, key, _chain(found, x), numbers.alias("_numbers"))
             # A reference equal to its target's place, the usual case, takes one lookup; only others search.
-            found = F.coalesce(F.get(numbers, v) == v, F.lit(False)) | F.coalesce(F.array_contains(numbers, v), F.lit(False))
-            return F.when(v.isNotNull() & found, _row(c, [*at, v]))
-
-        parts.append(_rows(F.filter(_expand(_column(path), 2, [], hit), lambda r: r.isNotNull())))
-    return df.select(key, F.inline(F.concat(*parts)))
-
-
-def skeleton(df: DataFrame, key: str = "record_id") -> DataFrame:
-    """An extraction record without its texts: what child rows it has, as small as that can be said for a shuffle."""
-    empty = F.array().cast("array<double>")
-    return df.select(
-        key,
-        F.arrays_zip(
-            F.col("blocks.order").alias("order"),
-            F.transform("blocks.bbox", lambda v: F.when(v.isNotNull(), empty)).alias("bbox"),
-        ).alias("blocks"),
-        F.transform("tables.cells", lambda t: F.struct(F.transform(t, lambda r: F.transform(r, lambda _: F.lit(0).cast("byte"))).alias("cells"))).alias("tables"),
-        F.transform("chunks.block_ids", lambda v: F.struct(v.alias("block_ids"))).alias("chunks"),
-    )
+            hit = F.coalesce(F.get("_numbers", F.col("_v")) == F.col("_v"), F.lit(False)) | F.coalesce(F.array_contains("_numbers", F.col("_v")), F.lit(False))
+            part(rows.filter(F.col("_v").isNotNull() & hit), child, [*ORDINALS[: x.depth], "_v"])
+    empty = df.sparkSession.createDataFrame([], T.StructType([df.schema[key], *T.DataType.fromDDL("child string, i int, j int, k int").fields]))
+    return reduce(DataFrame.unionByName, parts) if parts else empty
 
 
 def record_child_keys(records: DataFrame) -> DataFrame:
-    """The child rows of each distinct extraction record: block, bbox, table, cell, chunk and link.
-
-    Redelivered rows (same record_id) count once; only the skeletons of the records are shuffled for that.
-    """
+    """The child rows of each distinct extraction record: block, bbox, table, cell, chunk and link. Redelivered rows (same
+    record_id) count once; two narrow columns tell which they are."""
     return child_keys(
-        one_per_key(skeleton(records), "record_id"),
+        drop_redelivered(records, "record_id", "loaded_at"),
         "record_id",
         {"blocks": "block", "tables": "table", "tables.cells": "cell", "chunks": "chunk"},
         {"blocks.bbox": "bbox"},

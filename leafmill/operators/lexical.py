@@ -12,10 +12,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from leafmill.functions.text import tokens
+from leafmill.operators.vectors import best_of
+from leafmill.session import cut
 
 K1, B = 1.2, 0.75
-#: Queries of one batch, whose term counts are broadcast as a matrix.
-BATCH = 4096
+#: Queries of one batch, whose term counts are broadcast as a matrix; documents that are scored at a time.
+BATCH, DOCS = 1024, 256
 
 
 def query_terms(query: str) -> list[str]:
@@ -90,61 +92,70 @@ def rank_many(postings: DataFrame, lengths: DataFrame, queries: DataFrame, k: in
 def rank_batches(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(query_id, rank, doc, score) of the k best documents for each of many queries (query_id, text) without an index.
 
-    A stated query set meets the documents in blocks: a batch of queries is a matrix of term counts, an Arrow batch of
-    documents one of term weights, their product the scores. Each task keeps its k best for each query, so no
-    (query, document) pair is ever a row before that. Documents are tokenised once for each batch of queries.
+    A stated query set meets the documents in blocks: a batch of queries is a matrix of term counts, a few documents one of
+    term weights, their product the scores. A task carries its k best for each query from batch to batch, so no (query,
+    document) pair is ever a row before that. Documents are tokenised once for all batches of queries. A null text is a
+    document without terms.
     """
     q = queries.select("query_id", tokens(F.coalesce("text", F.lit(""))).alias("t")).orderBy("query_id")
-    n = q.count()
-    starts = range(0, n, BATCH)
-    parts = [_rank_batch(docs, q.offset(s).limit(BATCH).toPandas(), k, key, text) for s in starts]
+    starts = range(0, q.count(), BATCH)
+    d = docs.select(F.col(key).cast("bigint").alias("doc"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("t"))
+    d = cut(d) if len(starts) > 1 else d
+    stats = d.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("mean")).head()
+    parts = [_rank_batch(d, q.offset(s).limit(BATCH).toPandas(), k, stats["n"], stats["mean"] or 1.0) for s in starts]
     empty = docs.sparkSession.createDataFrame([], "query_id bigint, doc bigint, score double, first_term int")
     best = reduce(DataFrame.unionByName, parts, empty)
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "first_term", "doc")
     return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "doc", "score")
 
 
-def _rank_batch(docs: DataFrame, batch, k: int, key: str, text: str) -> DataFrame:
+def _rank_batch(d: DataFrame, batch, k: int, n_docs: int, mean: float) -> DataFrame:
+    spark = d.sparkSession
     terms = sorted({t for ts in batch["t"] for t in ts})
     at = {t: i for i, t in enumerate(terms)}
     ids = batch["query_id"].to_numpy(np.int64)
-    times = np.zeros((len(ids), len(terms)))
+    times = np.zeros((len(ids), len(terms)), np.float32)
     place = np.full((len(ids), len(terms)), 1 << 30, np.int32)
     for i, ts in enumerate(batch["t"]):
         for n, t in enumerate(ts):
             times[i, at[t]] += 1
             place[i, at[t]] = min(place[i, at[t]], n)
-    d = docs.select(F.col(key).cast("bigint").alias("doc"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("t"))
-    wanted = F.array(*[F.lit(t) for t in terms]).cast("array<string>")
-    stats = d.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("mean")).head()
-    found = d.select(F.explode(F.array_intersect("t", wanted)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    asked = F.broadcast(spark.createDataFrame([(t,) for t in terms], "term string"))  # at most the batch's terms
+    found = d.select(F.explode(F.array_distinct("t")).alias("term")).join(asked, "term").groupBy("term").agg(F.count("*").alias("df"))
     df = np.zeros(len(terms))
     for r in found.collect():  # at most the batch's terms
         df[at[r["term"]]] = r["df"]
-    idf = np.log(1 + (stats["n"] - df + 0.5) / (df + 0.5)) * (K1 + 1)
-    sent = docs.sparkSession.sparkContext.broadcast((ids, times * idf, place, terms, stats["mean"] or 1.0))
+    idf = np.log(1 + (n_docs - df + 0.5) / (df + 0.5)) * (K1 + 1)
+    sent = spark.sparkContext.broadcast((ids, times, idf, place, terms))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, weights, place, terms, mean = sent.value
-        values = pa.array(terms, pa.string())
-        for b in batches:
-            doc, t = b.column(0).to_numpy(), b.column(1)
-            sizes = pc.list_value_length(t).to_numpy(zero_copy_only=False)
-            row = np.repeat(np.arange(len(doc)), sizes)
-            which = pc.fill_null(pc.index_in(t.flatten(), value_set=values), -1).to_numpy(zero_copy_only=False)
-            tf = np.zeros((len(doc), len(terms)))
-            np.add.at(tf, (row[which >= 0], which[which >= 0]), 1)
-            part = tf / (tf + K1 * (1 - B + B * sizes[:, None] / mean))
-            scores, out = weights @ part.T, []
-            for i, s in enumerate(scores):
-                hit = np.flatnonzero(s > 0)
-                if len(hit) > k:  # the k-th best, and all that tie with it
-                    hit = hit[s[hit] >= np.partition(s[hit], len(hit) - k)[len(hit) - k] - 1e-8]
-                if len(hit):
-                    first = np.where(tf[hit] > 0, place[i], 1 << 30).min(1)
-                    keep = np.lexsort((doc[hit], first, -np.round(s[hit], 9)))[:k]
-                    out.append((np.full(len(keep), ids[i]), doc[hit][keep], s[hit][keep], first[keep].astype(np.int32)))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["query_id", "doc", "score", "first_term"])
+        ids, times, idf, place, terms = sent.value
+        weights, values = times * idf, pa.array(terms, pa.string())
+        none = np.empty(0, np.int64), np.empty(0), np.empty(0, np.int32)
+        kept = [none] * len(ids)
+        for big in batches:
+            for first_row in range(0, big.num_rows, DOCS):
+                b = big.slice(first_row, DOCS)
+                doc, t = b.column(0).to_numpy(), b.column(1)
+                sizes = pc.list_value_length(t).to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(len(doc)), sizes)
+                which = pc.fill_null(pc.index_in(t.flatten(), value_set=values), -1).to_numpy(zero_copy_only=False)
+                tf = np.zeros((len(doc), len(terms)))
+                np.add.at(tf, (row[which >= 0], which[which >= 0]), 1)
+                part = tf / (tf + K1 * (1 - B + B * sizes[:, None] / mean))
+                for i, s in enumerate(weights @ part.T):
+                    hit = np.flatnonzero(s > 0)
+                    if not len(hit):
+                        continue
+                    if len(hit) > k:  # the k-th best, and all that tie with it
+                        hit = hit[s[hit] >= np.partition(s[hit], len(hit) - k)[len(hit) - k] - 1e-8]
+                    first = np.where(tf[hit] > 0, place[i], 1 << 30).min(1).astype(np.int32)
+                    old = kept[i]
+                    docs, score, first = np.append(old[0], doc[hit]), np.append(old[1], s[hit]), np.append(old[2], first)
+                    top = best_of(score, [first, docs], k)
+                    kept[i] = docs[top], score[top], first[top]
+        sizes = [len(x[0]) for x in kept]
+        if sum(sizes):
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, sizes)), *[pa.array(np.concatenate([x[c] for x in kept])) for c in range(3)]], ["query_id", "doc", "score", "first_term"])
 
     return d.mapInArrow(run, "query_id bigint, doc bigint, score double, first_term int")

@@ -16,8 +16,9 @@ def scan_corpus(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def describe(pages: DataFrame) -> DataFrame:
-    """Manifest rows from page texts (filename, page, text): pages, characters, scanned if under 200 a page."""
-    d = pages.groupBy("filename").agg(F.count("*").cast("int").alias("pages"), F.sum(F.length(F.coalesce("text", F.lit("")))).alias("chars_text_layer"))
+    """Manifest rows from all pages (filename, page, text), those without text too: pages, characters, scanned if under 200
+    a page."""
+    d = pages.groupBy("filename").agg(F.count("*").cast("int").alias("pages"), F.sum(F.length(F.coalesce("text", F.lit(""))).cast("bigint")).alias("chars_text_layer"))
     return d.withColumn("scanned", (F.col("pages") > 0) & (F.col("chars_text_layer") / F.col("pages") < SCANNED_BELOW)).withColumn("doi", F.lit(None).cast("string"))
 
 

@@ -2,28 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from leafmill.functions.text import cell_text
 from leafmill.schema import BLOCK_KINDS, TEXT_KINDS
+from leafmill.session import drop_redelivered
 
 KEY = ["runner", "paper_id"]
 
 
 def first_deliveries(records: DataFrame) -> DataFrame:
-    """Each record once: the delivery loaded first. Only (record_id, loaded_at) is shuffled to find out which."""
-    first = records.groupBy("record_id").agg(F.min("loaded_at").alias("loaded_at"))
-    return records.join(first, ["record_id", "loaded_at"], "left_semi")
+    """Each record once: the delivery loaded first, one of those loaded at the same time; rows without an id all stay.
+    Only (record_id, loaded_at) is shuffled to find out which."""
+    return drop_redelivered(records, "record_id", "loaded_at")
 
 
 def current_records(records: DataFrame) -> DataFrame:
-    """One record of each runner and paper: the last run (of equal ones that with the largest id), first delivery.
+    """One record of each runner and paper: the last run (of equal ones that with the largest id), first delivery. Rows
+    without an id, or with a null runner or paper, are no record of one and don't count.
 
     The winners are found from four narrow columns; rows are then picked by a semi join.
     """
-    first = records.groupBy("record_id").agg(F.min("loaded_at").alias("loaded_at"), F.first("runner").alias("runner"), F.first("paper_id").alias("paper_id"), F.first("run_at").alias("run_at"))
-    last = first.groupBy(*KEY).agg(F.max(F.struct("run_at", "record_id", "loaded_at")).alias("w")).select("w.record_id", "w.loaded_at")
-    return records.join(last, ["record_id", "loaded_at"], "left_semi")
+    once = first_deliveries(records.filter(F.col("record_id").isNotNull()))
+    last = once.groupBy(*KEY).agg(F.max(F.struct("run_at", "record_id")).alias("w")).filter(F.col("runner").isNotNull() & F.col("paper_id").isNotNull())
+    return once.join(last.select("w.record_id"), "record_id", "left_semi")
 
 
 def blocks(records: DataFrame, *keep: str) -> DataFrame:
@@ -58,9 +60,14 @@ def page_texts(records: DataFrame) -> DataFrame:
     return p.select(*KEY, "page", F.array_join(F.transform("p", lambda x: x["text"]), " ").alias("text"))
 
 
-def chars_per_page(records: DataFrame) -> DataFrame:
-    """(runner, paper_id, page, chars): characters of text blocks and filled cells; pages without any have 0, pages beyond
-    the record's count are added. Each record's pages are summed inside the record before anything is shuffled."""
+def all_pages(records: DataFrame) -> DataFrame:
+    """``page_texts`` with a row for every page of a record, its text null where nothing stands on it."""
+    spine = records.select(*KEY, F.explode(F.sequence(F.lit(1), F.greatest("pages", F.lit(1)))).alias("page"))
+    return spine.join(page_texts(records), [*KEY, "page"], "full_outer")
+
+
+def page_chars() -> Column:
+    """A record's characters as an array of (page, n): every page with 0, its text blocks and filled cells."""
     text = F.transform(
         F.filter(F.coalesce("blocks", F.expr("array()")), lambda b: b["kind"].isin(*TEXT_KINDS)),
         lambda b: F.struct(b["page"].alias("page"), F.length(F.coalesce(b["text"], F.lit(""))).cast("bigint").alias("n")),
@@ -73,13 +80,31 @@ def chars_per_page(records: DataFrame) -> DataFrame:
         ),
     )
     spine = F.transform(F.sequence(F.lit(1), F.greatest("pages", F.lit(1))), lambda p: F.struct(p.alias("page"), F.lit(0).cast("bigint").alias("n")))
-    return records.select(*KEY, F.inline(F.concat(spine, text, grid))).groupBy(*KEY, "page").agg(F.sum("n").alias("chars"))
+    return F.concat(spine, text, grid)
+
+
+def chars_per_page(records: DataFrame) -> DataFrame:
+    """(runner, paper_id, page, chars): characters of text blocks and filled cells; pages without any have 0, pages beyond
+    the record's count are added. Each record's pages are summed inside the record before anything is shuffled."""
+    chars = records if "page_chars" in records.columns else records.select(*KEY, page_chars().alias("page_chars"))
+    return chars.select(*KEY, F.inline("page_chars")).groupBy(*KEY, "page").agg(F.sum("n").alias("chars"))
+
+
+def _sorted_fields(value: Column, kind: T.DataType) -> Column:
+    """``value`` with the fields of its structs in alphabetical order, at every depth."""
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: _sorted_fields(x, kind.elementType))
+    if isinstance(kind, T.StructType):
+        fields = F.struct(*[_sorted_fields(value[f.name], f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)])
+        return F.when(value.isNotNull(), fields)
+    return value
 
 
 def content_hash(records: DataFrame) -> Column:
-    """SHA-256 of a record's content: all fields but its timing, keys in alphabetical order."""
+    """SHA-256 of a record's content: all fields but its timing as JSON, keys in alphabetical order at every depth."""
     fields = ["blocks", "chunks", "pages", "paper_id", "pdf_sha256", "runner", "runner_version", "tables"]
-    return F.sha2(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}), 256)
+    ordered = [_sorted_fields(F.col(f), records.schema[f].dataType).alias(f) for f in fields]
+    return F.sha2(F.to_json(F.struct(*ordered), {"ignoreNullFields": "false"}), 256)
 
 
 def violation(order_is_dense: bool = False) -> Column:

@@ -13,7 +13,9 @@ from leafmill.schema import FLOOR_RUNNER
 
 
 def score(records: DataFrame, floor: str = FLOOR_RUNNER) -> DataFrame:
-    """Per runner: papers, means of per-paper medians, sums and pooled ratios. All-zero timings are no timing."""
+    """Per runner: papers, means of per-paper medians, sums and pooled ratios. All-zero timings are no timing. The records
+    are read once; every metric takes what was written of them."""
+    records = M.facts(records)
     r = records.select(*KEY)
     cov = M.coverage(records, floor).groupBy("runner").agg(F.count("*").alias("covered_papers"), F.avg("median_ratio").alias("coverage"), F.sum("dropped_count").alias("dropped_pages"), F.sum("chars_total").alias("chars"))
     order = M.reading_order(records).groupBy("runner").agg(F.avg("monotonic_fraction").alias("order_monotonic"), F.sum("blocks_ending_midword").alias("midword"))

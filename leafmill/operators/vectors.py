@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+#: Queries of one block, which is broadcast; digits to which scores are told apart.
+BATCH, DIGITS = 2048, 9
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -56,31 +60,48 @@ def cosine_topk(vectors: DataFrame, query: DataFrame, k: int, key: str = "vec_id
 
 
 def cosine_topk_many(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", v: str = "embedding") -> DataFrame:
-    """(query_id, rank, key, score) for a stated query set: blocks of queries meet partitions of rows as matrices.
+    """(query_id, rank, key, score) for a stated query set: blocks of BATCH queries meet partitions of rows as matrices.
 
-    The queries (a batch, sent as one broadcast) are scored against each Arrow batch of rows with one matrix product; each
-    task keeps its k best for each query, and only those are shuffled.
+    A block is sent as one broadcast of bounded size; each Arrow batch of rows is scored with one matrix product. A task
+    carries its k best for each query, by rounded score and key, from batch to batch; only those are shuffled.
     """
-    qs = queries.orderBy("query_id").select("query_id", F.col(v).alias("v")).toPandas()
-    ids = qs["query_id"].to_numpy(np.int64)
-    m = np.stack(qs["v"].to_numpy()).astype(np.float64) if len(qs) else np.zeros((0, 1))
-    m = m / np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) == 0, 1, n)
-    sent = vectors.sparkSession.sparkContext.broadcast((ids, m))
+    q = queries.orderBy("query_id").select("query_id", F.col(v).alias("v"))
+    parts = [_cosine_block(vectors, q.offset(s).limit(BATCH).toPandas(), k, key, v) for s in range(0, q.count(), BATCH)]
+    empty = vectors.sparkSession.createDataFrame([], f"query_id bigint, {key} bigint, score double")
+    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", DIGITS)), key)
+    return reduce(DataFrame.unionByName, parts, empty).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def best_of(score: np.ndarray, ties: list[np.ndarray], k: int) -> np.ndarray:
+    """Places of the k best scores, rounded; equal ones by ``ties``. Only those that can be among them are sorted."""
+    some = np.arange(len(score))
+    if len(score) > k:
+        some = np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k] - 10.0**-DIGITS)
+    return some[np.lexsort((*[t[some] for t in reversed(ties)], -np.round(score[some], DIGITS)))[:k]]
+
+
+def _cosine_block(vectors: DataFrame, qs, k: int, key: str, v: str) -> DataFrame:
+    unit = lambda x: x / np.where((n := np.linalg.norm(x, axis=1, keepdims=True)) == 0, 1, n)
+    sent = vectors.sparkSession.sparkContext.broadcast((qs["query_id"].to_numpy(np.int64), unit(np.stack(qs["v"].to_numpy()).astype(np.float64))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, m = sent.value
+        kept = [(np.empty(0, np.int64), np.empty(0))] * len(ids)
         for batch in batches:
-            x = np.array(batch.column(1).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(batch.num_rows, -1)
-            if not len(x) or not len(m):
+            if not batch.num_rows:
                 continue
-            x = x / np.where((n := np.linalg.norm(x, axis=1, keepdims=True)) == 0, 1, n)
-            s, keys = m @ x.T, batch.column(0).to_numpy()
-            top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, top.shape[1])), pa.array(keys[top].ravel()), pa.array(np.take_along_axis(s, top, 1).ravel())], ["query_id", key, "score"])
-
-    s = vectors.select(key, v).mapInArrow(run, f"query_id bigint, {key} bigint, score double")
-    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), key)
-    return s.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+            x = unit(np.array(batch.column(1).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(batch.num_rows, -1))
+            keys = batch.column(0).to_numpy()
+            for i, s in enumerate(m @ x.T):
+                top = best_of(s, [keys], k)
+                both, score = np.append(kept[i][0], keys[top]), np.append(kept[i][1], s[top])
+                top = best_of(score, [both], k)
+                kept[i] = both[top], score[top]
+        sizes = [len(a) for a, _ in kept]
+        if sum(sizes):
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, sizes)), pa.array(np.concatenate([a for a, _ in kept])), pa.array(np.concatenate([s for _, s in kept]))], ["query_id", key, "score"])
+
+    return vectors.select(key, v).filter(F.col(v).isNotNull()).mapInArrow(run, f"query_id bigint, {key} bigint, score double")
 
 
 def embed(df: DataFrame, text: str, embedder: Callable[[list[str]], np.ndarray], dim: int, into: str = "embedding") -> DataFrame:

@@ -185,7 +185,30 @@ FROM (SELECT *, len(list_filter(regexp_split_to_array(bare, '[\s\p{{Z}}]+'), lam
       SELECT *, regexp_replace(coalesce(text, ''), '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g') AS t FROM {source}))))))"""
 
 
+#: The first invariant that a current record breaks.
+VALID = CURRENT + """,
+va AS (SELECT record_id, runner, CASE
+  WHEN paper_id IS NULL OR runner IS NULL OR runner_version IS NULL OR pdf_sha256 IS NULL OR blocks IS NULL OR tables IS NULL OR chunks IS NULL OR wall_seconds IS NULL THEN 'field'
+  WHEN pages IS NULL OR pages < 1 THEN 'pages'
+  WHEN len(list_filter(blocks, lambda b: NOT coalesce(b.kind IN ('paragraph', 'section_header', 'caption', 'table', 'other'), false))) > 0 THEN 'block kind'
+  WHEN len(list_filter(blocks, lambda b: b.text IS NULL)) > 0 THEN 'block text'
+  WHEN len(list_filter(blocks, lambda b: NOT coalesce(b.page >= 1, false))) > 0 THEN 'block page'
+  WHEN len(list_filter(blocks, lambda b: b."order" IS NULL)) > 0 THEN 'block order'
+  WHEN len(list_filter(blocks, lambda b: b.bbox IS NOT NULL AND (len(b.bbox) <> 4 OR len(list_filter(b.bbox, lambda v: v IS NULL)) > 0))) > 0 THEN 'block bbox'
+  WHEN list_sort(list_transform(blocks, lambda b: b."order")) <> list_transform(blocks, lambda b: b."order") THEN 'blocks not sorted'
+  WHEN len(list_filter(tables, lambda t: t.page IS NULL OR t.rows IS NULL OR t.cols IS NULL)) > 0 THEN 'table fields'
+  WHEN len(list_filter(tables, lambda t: NOT coalesce(len(t.cells) = t.rows, false))) > 0 THEN 'table rows'
+  WHEN len(list_filter(tables, lambda t: len(list_filter(t.cells, lambda r: NOT coalesce(len(r) = t.cols, false))) > 0)) > 0 THEN 'table cols'
+  WHEN len(list_filter(chunks, lambda c: NOT coalesce(length(c.text) = c.chars, false))) > 0 THEN 'chunk text'
+  WHEN len(list_filter(chunks, lambda c: c.block_ids IS NULL OR len(list_filter(c.block_ids, lambda i: i IS NULL OR NOT list_contains(list_transform(blocks, lambda b: b."order"), i))) > 0)) > 0 THEN 'chunk block ids'
+  END AS violation FROM cur)"""
+#: Records as JSON with their keys in alphabetical order.
+_JSON = "to_json({blocks: list_transform(blocks, lambda b: {bbox: b.bbox, kind: b.kind, \"order\": b.\"order\", page: b.page, text: b.text}), chunks: list_transform(chunks, lambda c: {block_ids: c.block_ids, chars: c.chars, id: c.id, section: c.section, text: c.text}), pages: pages, paper_id: paper_id, pdf_sha256: pdf_sha256, runner: runner, runner_version: runner_version, tables: list_transform(tables, lambda t: {caption: t.caption, cells: t.cells, cols: t.cols, page: t.page, \"rows\": t.rows})})"
+
 ORACLE = {
+    "validate_ir": VALID + " SELECT record_id, violation FROM va",
+    "violation_counts": VALID + " SELECT runner, violation, count(*) AS n FROM va GROUP BY ALL",
+    "content_hash": CURRENT + f" SELECT record_id, sha256({_JSON}::VARCHAR) AS content_hash FROM d",
     "current_records": CURRENT + " SELECT record_id, runner, paper_id, runner_version FROM cur",
     "first_deliveries": CURRENT + " SELECT record_id, paper_id, runner, loaded_at FROM d",
     "parse_number": PARSED + " SELECT DISTINCT text, value FROM pn",

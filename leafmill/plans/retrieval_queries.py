@@ -66,7 +66,7 @@ def bm25_index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bm25_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best documents for the questions of every 20th request."""
-    docs = table(spark, sf_dir, "documents").filter("text IS NOT NULL")
+    docs = table(spark, sf_dir, "documents")
     q = table(spark, sf_dir, "ask_requests").filter((F.col("request_id") % QUERY_STEP == 0) & F.col("question").isNotNull())
     q = q.select(F.col("request_id").alias("query_id"), F.col("question").alias("text")).distinct()
     return L.rank_batches(docs, q, 3).select("query_id", "rank", "doc", F.round("score", 9).alias("score"))
@@ -126,8 +126,9 @@ def build_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").filter("length(text) > 40")
-    answer = F.concat(F.substring("text", 1, 20), F.lit(" [1] and [3][1] but [9], [0] or ["), (F.col("doc_id") % 6).cast("string"), F.lit("] end"))
+    """Documents as answers: their whole texts with markers that can and can't be resolved."""
+    d = table(spark, sf_dir, "documents").filter("text IS NOT NULL")
+    answer = F.concat("text", F.lit(" [1] and [3][1] but [9], [0] or ["), (F.col("doc_id") % 6).cast("string"), F.lit("] end"))
     return d.select("doc_id", answer.alias("answer"), F.array(*[F.lit(f"c{i}") for i in range(1, 5)]).alias("ids"))
 
 
@@ -218,7 +219,7 @@ q AS (SELECT request_id, strftime(asked_at, '%Y-%m-%d') AS day, coalesce(visitor
 e AS (SELECT *, row_number() OVER (PARTITION BY day, visitor ORDER BY asked_at, request_id) <= 2 AS ok FROM q),
 f AS (SELECT *, coalesce(sum(ok::INT) OVER (PARTITION BY day ORDER BY asked_at, request_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM e),
 g AS (SELECT request_id, day, visitor, CASE WHEN before >= 8 THEN 'day-cap' WHEN ok THEN 'allowed' ELSE 'visitor-cap' END AS decision FROM f)"""
-_ANSWER = "WITH a AS (SELECT doc_id, substring(text, 1, 20) || ' [1] and [3][1] but [9], [0] or [' || doc_id % 6 || '] end' AS answer FROM documents WHERE length(text) > 40)"
+_ANSWER = "WITH a AS (SELECT doc_id, text || ' [1] and [3][1] but [9], [0] or [' || doc_id % 6 || '] end' AS answer FROM documents WHERE text IS NOT NULL)"
 
 ORACLE = {
     "bundle_papers": BUNDLE + r" SELECT paper_id, filename, m.pages AS pages, sha256 FROM bu JOIN (SELECT *, regexp_replace(filename, '\.[^.]*$', '') AS paper_id FROM corpus_manifest QUALIFY row_number() OVER (PARTITION BY regexp_replace(filename, '\.[^.]*$', '') ORDER BY filename, sha256) = 1) m USING (paper_id)",
@@ -229,7 +230,7 @@ ORACLE = {
     "bm25_topk": _CHUNKS + _TOP.format("", K),
     "bm25_documents": "WITH x AS (SELECT 1)" + _bm25("documents", "doc_id") + " SELECT * FROM sco WHERE score > 0",
     "bm25_index_stats": "WITH x AS (SELECT 1)" + _bm25("documents", "doc_id") + " SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM po GROUP BY 1",
-    "bm25_many": "WITH x AS (SELECT * FROM documents WHERE text IS NOT NULL)" + _bm25("x", "doc_id")
+    "bm25_many": "WITH x AS (SELECT * FROM documents)" + _bm25("x", "doc_id")
     + """,
 qs AS (SELECT DISTINCT request_id AS query_id, question FROM ask_requests WHERE request_id % 20 = 0 AND question IS NOT NULL),
 qw AS (SELECT query_id, unnest(t) AS term, unnest(range(len(t))) AS place FROM (SELECT query_id, list_filter(regexp_split_to_array(lower(question), '[^a-z0-9]+'), lambda t: length(t) > 1) AS t FROM qs)),
@@ -258,7 +259,12 @@ UNION ALL SELECT 'semantic', row_number() OVER (ORDER BY score DESC, vec_id)::IN
     + f""" SELECT '{A.SYSTEM}' AS system, 'Passages:' || chr(10) || chr(10) || string_agg('[' || rank || '] ' || paper_id || ' — ' || coalesce(section, 'no section') || chr(10) || text, chr(10) || chr(10) ORDER BY rank) || chr(10) || chr(10) || 'Question: {QUERY}' AS user
 FROM ({_TOP.format('', A.SENT_PASSAGES)}) JOIN cx USING (paper_id, n)""",
     "cited_chunk_ids": _ANSWER + r""", m AS (SELECT doc_id, unnest(x) AS i, unnest(range(len(x))) AS j FROM (SELECT doc_id, regexp_extract_all(answer, '\[(\d+)\]', 1) AS x FROM a))
-SELECT doc_id, coalesce(list(c ORDER BY j) FILTER (WHERE c IS NOT NULL), []) AS cited FROM a LEFT JOIN (SELECT doc_id, 'c' || i AS c, min(j) AS j FROM m WHERE i::INT BETWEEN 1 AND 4 GROUP BY ALL) USING (doc_id) GROUP BY doc_id""",
+SELECT doc_id, coalesce(list(c ORDER BY j) FILTER (WHERE c IS NOT NULL), []) AS cited FROM a LEFT JOIN (SELECT doc_id, 'c' || i AS c, min(j) AS j FROM m WHERE try_cast(i AS HUGEINT) BETWEEN 1 AND 4 GROUP BY ALL) USING (doc_id) GROUP BY doc_id""",
+    "answer_segments": _ANSWER + r""",
+p AS (SELECT doc_id, regexp_split_to_array(answer, '\[0*[1-4]\]') AS t, list_transform(regexp_extract_all(answer, '\[(0*[1-4])\]', 1), lambda x: x::INT) AS m FROM a),
+s AS (SELECT doc_id, 2 * unnest(range(len(t))) AS pos, 'text' AS kind, unnest(t) AS text, NULL::INT AS label, NULL AS chunk_id FROM p
+  UNION ALL SELECT doc_id, 2 * unnest(range(len(m))) + 1, 'citation', NULL, unnest(m), 'c' || unnest(m) FROM p)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1)::INT AS n, kind, text, label, chunk_id FROM s WHERE kind = 'citation' OR text <> ''""",
     "ask_gate": _REQ
     + r""" SELECT request_id, CASE WHEN request_id % 13 = 0 THEN 204 WHEN request_id % 19 = 0 THEN 403 WHEN request_id % 17 = 0 THEN 405 WHEN request_id % 23 = 0 THEN 404 WHEN request_id % 29 = 0 THEN 400
   WHEN length(coalesce(trim(question), '')) = 0 OR length(trim(question)) > 500 THEN 400 WHEN request_id % 31 = 0 THEN 400 WHEN request_id % 37 = 0 THEN 500 WHEN request_id % 41 = 0 THEN 500 END AS status FROM r""",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from leafmill.functions.text import page_stem, sentences
 from leafmill.operators import manifest as MF, records as R, rollup, structure as S
-from leafmill.plans.metric_queries import AGREE, BLOCKS, CURRENT, GUTTER, HEALTH, ORDERED, PAGE_TEXT, PARSED, RATIO, STRUCTURE, TABLES, classified
+from leafmill.plans.metric_queries import AGREE, BLOCKS, CURRENT, GUTTER, HEALTH, ORDERED, PARSED, RATIO, STRUCTURE, TABLES, classified
 from leafmill.session import table
 
 
@@ -33,7 +33,8 @@ def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunk_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _current(spark, sf_dir).select("record_id", S.chunk_blocks(F.col("blocks")).alias("c"))
-    return r.select("record_id", F.inline("c"))
+    # A filter that inline would bring along goes below the join that picks the records, and packs them twice.
+    return r.select("record_id", F.inline_outer("c")).filter("id IS NOT NULL")
 
 
 def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,9 +82,9 @@ def match_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def describe_pdf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Manifest rows from the floor runner's page texts."""
+    """Manifest rows from all pages of the floor runner's records."""
     c = _current(spark, sf_dir).filter("runner = 'pdfplumber'")
-    return MF.describe(R.page_texts(c).withColumnRenamed("paper_id", "filename")).drop("doi")
+    return MF.describe(R.all_pages(c).withColumnRenamed("paper_id", "filename")).drop("doi")
 
 
 QUERIES = {
@@ -173,5 +174,11 @@ WHERE NOT EXISTS (SELECT 1 FROM ir_records r WHERE r.runner = 'docling-tuned' AN
     + r"""
 SELECT record_id, filename, m.pages AS manifest_pages, d.pdf_sha256 = m.sha256 AS same_content FROM d JOIN
   (SELECT *, regexp_replace(filename, '\.[^.]*$', '') AS paper_id FROM corpus_manifest QUALIFY row_number() OVER (PARTITION BY regexp_replace(filename, '\.[^.]*$', '') ORDER BY filename, sha256) = 1) m USING (paper_id)""",
-    "describe_pdf": PAGE_TEXT + " SELECT paper_id AS filename, count(*)::INT AS pages, sum(length(text))::BIGINT AS chars_text_layer, count(*) > 0 AND sum(length(text)) / count(*) < 200 AS scanned FROM pt WHERE runner = 'pdfplumber' GROUP BY 1",
+    "describe_pdf": BLOCKS
+    + """
+SELECT paper_id AS filename, count(*)::INT AS pages, sum(chars)::BIGINT AS chars_text_layer, sum(chars) / count(*) < 200 AS scanned FROM (
+  SELECT paper_id, page, coalesce(sum(n), 0) + greatest(count(n) - 1, 0) AS chars FROM (
+    SELECT runner, paper_id, unnest(range(1, greatest(pages, 1) + 1))::INT AS page, NULL AS n FROM cur
+    UNION ALL SELECT runner, paper_id, b.page, length(b.text) FROM bl WHERE b.kind <> 'table' AND b.text <> ''
+    UNION ALL SELECT runner, paper_id, page, length(text) FROM ce WHERE text <> '') WHERE runner = 'pdfplumber' GROUP BY paper_id, page) GROUP BY 1""",
 }

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-#: A side is broadcast only if its counted rows times this width stay below the limit.
+#: A side is broadcast only if its measured bytes stay below this limit.
 BROADCAST_BYTES = 64 << 20
 
 
@@ -37,12 +38,14 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """This application's folder below the one all executors share (spark.checkpoint.dir); a local one only where the
-    setting is missing. It is removed when the driver's Python ends."""
+    """This application's folder below the one all executors share (spark.checkpoint.dir). Only where everything runs on
+    this machine may the setting be missing: then a local folder is used. It is removed when the driver's Python ends."""
     sc = spark.sparkContext
     app = sc.applicationId
     if app not in _OWN:
         where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if where is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = where or "file://" + tempfile.mkdtemp(prefix="leafmill-")
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(where)
@@ -67,9 +70,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_or_shuffled(df: DataFrame, row_bytes: int = 64, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """``df`` (already cut, so counting is a footer read) with a broadcast hint if it is proven small."""
-    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+def _width(value: Column, kind: T.DataType) -> Column:
+    """Bytes that a value takes in a broadcast table."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return 24 + F.coalesce(F.octet_length(value), F.lit(0))
+    if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+        return 48 + 2 * F.coalesce(F.octet_length(F.to_json(F.struct(value.alias("v")))), F.lit(0))
+    return F.lit(8)
+
+
+def _row_width(df: DataFrame) -> Column:
+    return sum((_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema), F.lit(32))
+
+
+def measured(df: DataFrame) -> int:
+    """Bytes of ``df`` as a broadcast table, from all its rows."""
+    return df.agg(F.sum(_row_width(df).cast("bigint"))).head()[0] or 0
+
+
+def small_or_shuffled(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` (already cut, so it isn't computed again) with a broadcast hint if it is measured to be small."""
+    return F.broadcast(df) if measured(df) <= limit else df
 
 
 def one_per_key(df: DataFrame, key: str) -> DataFrame:
@@ -84,10 +105,11 @@ def drop_redelivered(df: DataFrame, key: str, order: str) -> DataFrame:
     each = df.groupBy(key, order).agg(F.count("*").alias("_c")).filter(F.col(key).isNotNull())
     again = each.groupBy(key).agg(F.sum("_c").alias("_n"), F.min(order).alias("_first"), F.min_by("_c", order).alias("_ties"))
     again = cut(again.filter("_n > 1").select(key, "_first", (F.coalesce("_ties", F.lit(2)) > 1).alias("_tied")))
-    marked = df.join(small_or_shuffled(again, 32), key, "left")
+    found = again.agg(F.count_if("_tied").alias("ties"), F.sum(_row_width(again).cast("bigint")).alias("bytes")).head()
+    marked = df.join(F.broadcast(again) if (found["bytes"] or 0) <= BROADCAST_BYTES else again, key, "left")
     marked = marked.filter(F.col("_first").isNull() | F.coalesce(F.col(order) <= F.col("_first"), F.lit(False)))
     tied = F.coalesce("_tied", F.lit(False))
-    if again.filter("_tied").head(1):
+    if found["ties"]:
         one = marked.filter(tied).dropDuplicates([key])
         marked = marked.filter(~tied).unionByName(one)
     return marked.drop("_first", "_tied")

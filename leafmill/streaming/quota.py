@@ -11,19 +11,33 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from leafmill.session import cut, small_or_shuffled
+
 PER_DAY, PER_VISITOR, TTL_HOURS, LATE = 15, 3, 48, "14 days"
 DECISION = "request_id bigint, day string, visitor string, at timestamp, decision string"
 
 
 def decide(requests: DataFrame, per_day: int = PER_DAY, per_visitor: int = PER_VISITOR) -> DataFrame:
-    """Requests (request_id, day, visitor, at) with their decision: allowed, day-cap or visitor-cap. Exact: a visitor's
-    first requests are eligible, and the day's cap falls after so many eligible ones. Days are independent."""
+    """Requests (request_id, day, visitor, at), each id once, with their decision: allowed, day-cap or visitor-cap. Exact: a
+    visitor's first requests are eligible, and the day's cap falls after so many eligible ones. Days are independent.
+
+    Only first ones are ever ranked: before they are shuffled, each task drops all but the first of its visitor, or day, so
+    neither a busy visitor nor a busy day is a hot group.
+    """
     order = ["at", "request_id"]
-    r = requests.withColumn("nth", F.row_number().over(Window.partitionBy("day", "visitor").orderBy(*order)))
-    eligible = (F.col("nth") <= per_visitor).cast("int")
-    before = F.coalesce(F.sum(eligible).over(Window.partitionBy("day").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    decision = F.when(before >= per_day, "day-cap").when(F.col("nth") <= per_visitor, "allowed").otherwise("visitor-cap")
-    return r.withColumn("decision", decision).drop("nth")
+
+    def first(rows: DataFrame, key: list[str], n: int) -> DataFrame:
+        return rows.withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter(F.col("nth") <= n).drop("nth")
+
+    key = ["request_id", "day", "visitor", "at"]
+    eligible = first(requests.select(*key), ["day", "visitor"], per_visitor)
+    last = F.max(F.struct(*order)).alias("last")
+    full = first(eligible, ["day"], per_day).groupBy("day").agg(last, F.count("*").alias("n")).filter(F.col("n") >= per_day).select("day", "last")
+    full = small_or_shuffled(cut(full))
+    r = requests.join(eligible.select("request_id", F.lit(True).alias("eligible")), "request_id", "left").join(full, "day", "left")
+    late = F.lit(per_day <= 0) | F.coalesce(F.struct(*order) > F.col("last"), F.lit(False))
+    decision = F.when(late, "day-cap").when(F.col("eligible"), "allowed").otherwise("visitor-cap")
+    return r.withColumn("decision", decision).select(*requests.columns, "decision")
 
 
 def decide_stream(requests: DataFrame, per_day: int = PER_DAY, per_visitor: int = PER_VISITOR, late: str = LATE) -> DataFrame:
