@@ -134,7 +134,7 @@ def without_repeated_lines(records: DataFrame) -> DataFrame:
     _, repeated = repeated_lines(records)
     keys = repeated.groupBy("site").agg(F.collect_list(F.struct("key", "key2")).alias("bad"))
     blocks = records.select("record_id", F.xxhash64("source").alias("site"), F.inline("blocks"))
-    blocks = blocks.join(small_or_shuffled(cut(keys), 4096), "site", "left")
+    blocks = blocks.join(small_or_shuffled(cut(keys)), "site", "left")
 
     def stays(line: Column) -> Column:
         n = normal_line(line)

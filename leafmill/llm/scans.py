@@ -491,7 +491,7 @@ def analyse(records: DataFrame, manifest: DataFrame) -> dict[str, DataFrame]:
     joined = split_words(broken, prose, words, hanging, fixed, papers)
     wrong = types.select("raw", F.explode(parts(F.col("raw"))).alias("x")).join(small_or_shuffled(fixed), "x")
     wrong = cut(wrong.groupBy("raw").agg(F.collect_list(F.struct("x", "y")).alias("fixes")))
-    misread = tokens.join(small_or_shuffled(wrong, 128), "raw").select("record_id", "block_order", "raw", "fixes")
+    misread = tokens.join(small_or_shuffled(wrong), "raw").select("record_id", "block_order", "raw", "fixes")
     return {"blocks": blocks, "prose": prose, "furniture": lines, "splits": joined, "misread": misread, "fixed": fixed}
 
 
