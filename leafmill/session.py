@@ -66,7 +66,7 @@ def _remove(spark: SparkSession, path: str) -> None:
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back, so that later uses don't compute it again."""
     path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
