@@ -46,6 +46,8 @@ SITE_PAPERS, SITE_SHARE = 3, 0.1
 #: How often a whole block seems to go on in another record.
 PROOF_ERROR = 1e-4
 
+#: White space of any script; the last characters in which end marks and marks of a cut are looked for.
+SPACES, TAIL = "".join(c for c in map(chr, (*range(0x3001), 0x205F)) if c.isspace()), 80
 ENDED = r"[.!?。！？؟।:：][)\]\"”»’'』」]*$"
 MARK = r"(…|\.\.\.|\x{FFFD}|\[(\.\.\.|…|\p{L}+)\])$"
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl"}
@@ -53,13 +55,17 @@ WIDE = "".join(chr(0xFEE0 + c) for c in range(0x21, 0x7F))
 WIDE_AS = "".join(map(chr, range(0x21, 0x7F)))
 
 
+def _ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.length(text)
+
+
 def _look(text: Column) -> Column:
     """The letters and figures of a text, small, in a form that a text's beginning shares with the whole: each look-alike
     and wide form by itself."""
     plain = F.translate(text, CYRILLIC + GREEK + WIDE, CYRILLIC_AS + GREEK_AS + WIDE_AS)
     for ligature, letters in LIGATURES.items():
         plain = F.replace(plain, F.lit(ligature), F.lit(letters))
-    return F.lower(F.regexp_replace(plain, r"[^\p{L}\p{N}]+", ""))
+    return F.lower(F.when(_ascii(text), F.regexp_replace(text, "[^A-Za-z0-9]+", "")).otherwise(F.regexp_replace(plain, r"[^\p{L}\p{N}]+", "")))
 
 
 def _same(*what: Column | str) -> Column:
@@ -76,10 +82,10 @@ def prose_blocks(records: DataFrame) -> DataFrame:
     paragraphs = F.transform("p", lambda b, i: row(b, nxt(i)["page"], F.substring(F.ltrim(nxt(i)["text"]), 1, 1)))
     captions = F.transform("c", lambda b: row(b, F.lit(None).cast("int"), F.lit(None).cast("string")))
     b = r.select("record_id", "source", "paper_id", F.inline(F.concat(paragraphs, captions)))
-    b = b.withColumn("t", F.regexp_replace("text", r"(?U)\s+$", "")).withColumn("look", _look(F.col("text")))
-    marked = F.col("t").rlike(MARK)
+    b = b.withColumn("t", F.rtrim("text", F.lit(SPACES))).withColumn("look", _look(F.col("text"))).withColumn("tail", F.substring("t", -TAIL, TAIL))
+    marked = F.col("tail").rlike(MARK)
     leaves = F.coalesce(F.col("next_page") > F.col("page"), F.lit(False))
-    b = b.withColumns({"marked": marked, "ended": F.col("t").rlike(ENDED) & ~marked, "leaves": leaves, "letters": F.length("look")})
+    b = b.withColumns({"marked": marked, "ended": F.col("tail").rlike(ENDED) & ~marked, "leaves": leaves, "letters": F.length("look")})
     upper = F.coalesce(F.col("next_start").rlike(r"^\p{Lu}"), F.lit(False))
     last = F.element_at(F.split("t", "\n"), -1)
     return b.select(
@@ -94,14 +100,14 @@ def prose_blocks(records: DataFrame) -> DataFrame:
         upper.alias("next_upper"),
         F.when(F.col("ended"), "ended").when(leaves & F.col("next_start").rlike(r"^[\p{Ll}\p{Lo}\p{N}]"), "runs on").otherwise("open").alias("ending"),
         (F.col("t") != F.col("text")).alias("space_end"),
-        F.col("t").rlike(r"[\x21-\x7E]$").alias("ascii_end"),
-        F.col("t").rlike(r"[\p{L}\p{N}]$").alias("letter_end"),
+        F.col("tail").rlike(r"[\x21-\x7E]$").alias("ascii_end"),
+        F.col("tail").rlike(r"[\p{L}\p{N}]$").alias("letter_end"),
     )
 
 
 def _line(line: Column) -> Column:
     """What lines of site text or running heads share: their letters."""
-    return F.xxhash64(F.lower(F.regexp_replace(line, r"\P{L}+", "")))
+    return F.xxhash64(F.lower(F.when(_ascii(line), F.regexp_replace(line, "[^A-Za-z]+", "")).otherwise(F.regexp_replace(line, r"\P{L}+", ""))))
 
 
 # --- lengths ---------------------------------------------------------------------------------------------------------
@@ -261,7 +267,8 @@ def _nowhere_later(proofs: DataFrame, records: DataFrame) -> DataFrame:
     """Proofs (record_id, block_order, rest) whose rest, a few misread letters aside, begins no later block of the record."""
     ids = small_or_shuffled(cut(proofs.select("record_id").distinct()))
     later = records.join(ids, "record_id", "left_semi").select("record_id", F.inline("blocks"))
-    later = later.select("record_id", F.col("order").alias("at"), F.substring(_look(F.col("text")), 1, NEXT).alias("begin"))
+    first = F.regexp_extract("text", rf"^(?:[^\p{{L}}\p{{N}}]*[\p{{L}}\p{{N}}]){{1,{NEXT}}}", 0)  # so many letters, and what stands between
+    later = later.select("record_id", F.col("order").alias("at"), F.substring(_look(first), 1, NEXT).alias("begin"))
     n = F.least(F.length("begin"), F.length("rest"))
     both = F.levenshtein(F.left("begin", n), F.left("rest", n)) * 8 <= n
     found = proofs.join(later, "record_id").filter((F.col("at") > F.col("block_order")) & (n >= F.least(F.lit(8), F.length("rest"))) & both)
@@ -277,15 +284,18 @@ def longer_versions(blocks: DataFrame, records: DataFrame) -> DataFrame:
     most = has.groupBy("key").agg(F.max("letters").alias("most"), F.min("letters").alias("least"), F.count_distinct("record_id").alias("held")).filter("held > 1 AND most > least")
     asks = _windows(blocks, *id_, "letters", off=(-1, 0, 1)).join(most.drop("least", "held"), "key").filter("most > letters").select(*id_, "key")
     asks = cut(asks.distinct())
-    wanted = has.join(small_or_shuffled(cut(asks.select("key").distinct())), "key", "left_semi").select("key", *id_)
-    text = blocks.select(*id_, F.col("text").alias("other"), F.col("look").alias("other_look"))
+    wanted = cut(has.join(small_or_shuffled(cut(asks.select("key").distinct())), "key", "left_semi").select("key", *id_))
+    these = lambda rows: small_or_shuffled(cut(rows.select(*id_).distinct()))
+    # Only texts that are asked, or asked for, leave the table; equal ones of a key count as one.
+    text = blocks.select(*id_, F.col("text").alias("other"), F.col("look").alias("other_look")).join(these(wanted), id_, "left_semi")
     versions = text.join(wanted, id_).drop(*id_).distinct()
     mine = blocks.select(*id_, "look", "letters", "ended")
-    pairs = mine.join(asks, id_).join(versions, "key").drop("key").filter(F.length("other_look") > F.col("letters"))
-    pairs = pairs.unionByName(_beginnings(blocks).join(mine, id_).select(pairs.columns)).distinct()
+    pairs = mine.join(these(asks), id_, "left_semi").join(asks, id_).join(versions, "key").drop("key").filter(F.length("other_look") > F.col("letters"))
+    begun = cut(_beginnings(blocks))
+    pairs = pairs.unionByName(mine.join(these(begun), id_, "left_semi").join(begun, id_).select(pairs.columns)).distinct()
     allowed = F.floor(F.col("letters") / MISREAD).cast("int")
-    edits = F.when(F.col("other_look").startswith(F.col("look")), 0).otherwise(F.levenshtein("look", F.expr("left(other_look, letters)")))
-    pairs = pairs.withColumn("edits", edits).filter(F.col("edits") <= allowed)
+    edits = F.when(F.col("other_look").startswith(F.col("look")), 0).otherwise(F.expr(f"levenshtein(look, left(other_look, letters), CAST(letters / {MISREAD} AS INT))"))
+    pairs = pairs.withColumn("edits", edits).filter((F.col("edits") >= 0) & (F.col("edits") <= allowed))
     after = cut(pairs.select(*id_, "ended", "edits", _after("look", "other", "edits").alias("a")).select(*id_, "ended", "edits", _look(F.col("a.rest")).alias("rest"), "a.more").filter("rest <> '' AND more > 2 * edits"))
     # What follows a proper end may stand in the record as a block of its own.
     lost = _nowhere_later(after.filter("ended").select(*id_, "rest").distinct(), records).select(*id_)
