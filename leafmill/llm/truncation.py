@@ -46,26 +46,24 @@ SITE_PAPERS, SITE_SHARE = 3, 0.1
 #: How often a whole block seems to go on in another record.
 PROOF_ERROR = 1e-4
 
-#: White space of any script; the last characters in which end marks and marks of a cut are looked for.
-SPACES, TAIL = "".join(c for c in map(chr, (*range(0x3001), 0x205F)) if c.isspace()), 80
-ENDED = r"[.!?。！？؟।:：][)\]\"”»’'』」]*$"
-MARK = r"(…|\.\.\.|\x{FFFD}|\[(\.\.\.|…|\p{L}+)\])$"
+#: White space of any script.
+SPACES = "".join(c for c in map(chr, (*range(0x3001), 0x205F)) if c.isspace())
+#: End marks, what may close after them, marks of a cut in brackets.
+ENDS, CLOSERS = ".!?。！？؟।:：", ")]\"”»’'』」"
+MARK = r"\[(\.\.\.|…|\p{L}+)\]$"
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl"}
 WIDE = "".join(chr(0xFEE0 + c) for c in range(0x21, 0x7F))
 WIDE_AS = "".join(map(chr, range(0x21, 0x7F)))
 
 
-def _ascii(text: Column) -> Column:
-    return F.octet_length(text) == F.length(text)
-
-
 def _look(text: Column) -> Column:
     """The letters and figures of a text, small, in a form that a text's beginning shares with the whole: each look-alike
     and wide form by itself."""
-    plain = F.translate(text, CYRILLIC + GREEK + WIDE, CYRILLIC_AS + GREEK_AS + WIDE_AS)
-    for ligature, letters in LIGATURES.items():
-        plain = F.replace(plain, F.lit(ligature), F.lit(letters))
-    return F.lower(F.when(_ascii(text), F.regexp_replace(text, "[^A-Za-z0-9]+", "")).otherwise(F.regexp_replace(plain, r"[^\p{L}\p{N}]+", "")))
+    letters = F.regexp_replace(text, r"[^\p{L}\p{N}]+", "")
+    plain = F.translate(letters, CYRILLIC + GREEK + WIDE, CYRILLIC_AS + GREEK_AS + WIDE_AS)
+    for ligature, as_ in LIGATURES.items():
+        plain = F.replace(plain, F.lit(ligature), F.lit(as_))
+    return F.lower(F.when(F.octet_length(letters) == F.length(letters), letters).otherwise(plain))
 
 
 def _same(*what: Column | str) -> Column:
@@ -82,17 +80,19 @@ def prose_blocks(records: DataFrame) -> DataFrame:
     paragraphs = F.transform("p", lambda b, i: row(b, nxt(i)["page"], F.substring(F.ltrim(nxt(i)["text"]), 1, 1)))
     captions = F.transform("c", lambda b: row(b, F.lit(None).cast("int"), F.lit(None).cast("string")))
     b = r.select("record_id", "source", "paper_id", F.inline(F.concat(paragraphs, captions)))
-    b = b.withColumn("t", F.rtrim("text", F.lit(SPACES))).withColumn("look", _look(F.col("text"))).withColumn("tail", F.substring("t", -TAIL, TAIL))
-    marked = F.col("tail").rlike(MARK)
+    b = b.withColumn("t", F.rtrim("text", F.lit(SPACES))).withColumn("look", _look(F.col("text")))
+    t = F.col("t")
+    marked = t.endswith("…") | t.endswith("...") | t.endswith("\ufffd") | (t.endswith("]") & t.rlike(MARK))
     leaves = F.coalesce(F.col("next_page") > F.col("page"), F.lit(False))
-    b = b.withColumns({"marked": marked, "ended": F.col("tail").rlike(ENDED) & ~marked, "leaves": leaves, "letters": F.length("look")})
+    b = b.withColumns({"marked": marked, "ended": F.right(F.rtrim(t, F.lit(CLOSERS)), F.lit(1)).isin(*ENDS) & ~marked, "leaves": leaves, "letters": F.length("look")})
     upper = F.coalesce(F.col("next_start").rlike(r"^\p{Lu}"), F.lit(False))
-    last = F.element_at(F.split("t", "\n"), -1)
+    last = F.substring_index("t", "\n", -1)
     return b.select(
         "record_id", "block_order", "source", "paper_id", "kind", "page", "text", "look", "letters", "ended", "marked", "leaves",
         F.octet_length("text").alias("bytes"),
         F.length("text").alias("chars"),
         _same(F.substring("look", 1, 2 * WINDOW)).alias("same"),
+        _same("text").alias("version"),
         F.when(~F.col("ended"), _line(last)).alias("line"),
         F.coalesce(F.trim(last).rlike(NUMBER), F.lit(False)).alias("numbered"),
         F.contains("t", F.lit("\n")).alias("lined"),
@@ -100,14 +100,14 @@ def prose_blocks(records: DataFrame) -> DataFrame:
         upper.alias("next_upper"),
         F.when(F.col("ended"), "ended").when(leaves & F.col("next_start").rlike(r"^[\p{Ll}\p{Lo}\p{N}]"), "runs on").otherwise("open").alias("ending"),
         (F.col("t") != F.col("text")).alias("space_end"),
-        F.col("tail").rlike(r"[\x21-\x7E]$").alias("ascii_end"),
-        F.col("tail").rlike(r"[\p{L}\p{N}]$").alias("letter_end"),
+        F.right("t", F.lit(1)).rlike(r"[\x21-\x7E]").alias("ascii_end"),
+        F.right("t", F.lit(1)).rlike(r"[\p{L}\p{N}]").alias("letter_end"),
     )
 
 
 def _line(line: Column) -> Column:
     """What lines of site text or running heads share: their letters."""
-    return F.xxhash64(F.lower(F.when(_ascii(line), F.regexp_replace(line, "[^A-Za-z]+", "")).otherwise(F.regexp_replace(line, r"\P{L}+", ""))))
+    return F.xxhash64(F.lower(F.regexp_replace(line, r"\P{L}+", "")))
 
 
 # --- lengths ---------------------------------------------------------------------------------------------------------
@@ -247,7 +247,7 @@ def _windows(df: DataFrame, *keep: str, off: tuple[int, ...] = (0,)) -> DataFram
 
 
 def _beginnings(blocks: DataFrame) -> DataFrame:
-    """(record_id, block_order, other): texts in the place of a block too short for a window that begin with it. The
+    """(record_id, block_order, version): texts in the place of a block too short for a window that begin with it. The
     block's own record must not hold the longer one, nor the other record the short one."""
     place = ["paper_id", "page", "kind", F.substring("look", 1, 1).alias("first")]
     on = ["paper_id", "page", "kind", "first"]
@@ -260,7 +260,7 @@ def _beginnings(blocks: DataFrame) -> DataFrame:
     held = blocks.select("record_id", F.col("same").alias("longer")).join(pairs, "longer").join(blocks.select("record_id", "same"), ["record_id", "same"], "left_anti")
     found = blocks.select("record_id", "block_order", "same").join(held.select("same", "longer").distinct(), "same")
     found = found.join(blocks.select("record_id", F.col("same").alias("longer")), ["record_id", "longer"], "left_anti")
-    return found.join(blocks.select(F.col("same").alias("longer"), F.col("text").alias("other"), F.col("look").alias("other_look")), "longer").select("record_id", "block_order", "other", "other_look").distinct()
+    return found.join(blocks.select(F.col("same").alias("longer"), "version"), "longer").select("record_id", "block_order", "version")
 
 
 def _nowhere_later(proofs: DataFrame, records: DataFrame) -> DataFrame:
@@ -279,24 +279,25 @@ def longer_versions(blocks: DataFrame, records: DataFrame) -> DataFrame:
     """(record_id, block_order) of the blocks that another record of the paper holds with more text. All its versions
     there are asked; a few letters may be misread between them."""
     id_ = ["record_id", "block_order"]
-    # First only lengths are compared, texts just where one is longer.
-    has = cut(_windows(blocks, "record_id", "letters", "block_order"))
+    # First only lengths are compared, texts just where one is longer; equal texts of a paper count as one.
+    has = cut(_windows(blocks, "record_id", "letters", "version"))
     most = has.groupBy("key").agg(F.max("letters").alias("most"), F.min("letters").alias("least"), F.count_distinct("record_id").alias("held")).filter("held > 1 AND most > least")
-    asks = _windows(blocks, *id_, "letters", off=(-1, 0, 1)).join(most.drop("least", "held"), "key").filter("most > letters").select(*id_, "key")
-    asks = cut(asks.distinct())
-    wanted = cut(has.join(small_or_shuffled(cut(asks.select("key").distinct())), "key", "left_semi").select("key", *id_))
-    these = lambda rows: small_or_shuffled(cut(rows.select(*id_).distinct()))
-    # Only texts that are asked, or asked for, leave the table; equal ones of a key count as one.
-    text = blocks.select(*id_, F.col("text").alias("other"), F.col("look").alias("other_look")).join(these(wanted), id_, "left_semi")
-    versions = text.join(wanted, id_).drop(*id_).distinct()
-    mine = blocks.select(*id_, "look", "letters", "ended")
-    pairs = mine.join(these(asks), id_, "left_semi").join(asks, id_).join(versions, "key").drop("key").filter(F.length("other_look") > F.col("letters"))
-    begun = cut(_beginnings(blocks))
-    pairs = pairs.unionByName(mine.join(these(begun), id_, "left_semi").join(begun, id_).select(pairs.columns)).distinct()
+    asks = _windows(blocks, *id_, "letters", off=(-1, 0, 1)).join(most.drop("least", "held"), "key").filter("most > letters").select(*id_, "letters", "key")
+    others = has.select("key", F.col("letters").alias("more"), "version").distinct()
+    asked = asks.join(others, "key").filter("more > letters").select(*id_, "version").unionByName(_beginnings(blocks))
+    asked = cut(asked.distinct())
+    versions = blocks.join(small_or_shuffled(cut(asked.select("version").distinct())), "version", "left_semi")
+    versions = versions.select("version", F.col("text").alias("other"), F.col("look").alias("other_look")).dropDuplicates(["version"])
+    mine = blocks.join(small_or_shuffled(cut(asked.select(*id_).distinct())), id_, "left_semi").select(*id_, "look", "letters", "ended")
+    pairs = mine.join(asked, id_).join(versions, "version")
     allowed = F.floor(F.col("letters") / MISREAD).cast("int")
     edits = F.when(F.col("other_look").startswith(F.col("look")), 0).otherwise(F.expr(f"levenshtein(look, left(other_look, letters), CAST(letters / {MISREAD} AS INT))"))
-    pairs = pairs.withColumn("edits", edits).filter((F.col("edits") >= 0) & (F.col("edits") <= allowed))
-    after = cut(pairs.select(*id_, "ended", "edits", _after("look", "other", "edits").alias("a")).select(*id_, "ended", "edits", _look(F.col("a.rest")).alias("rest"), "a.more").filter("rest <> '' AND more > 2 * edits"))
+    pairs = cut(pairs.withColumn("edits", edits).filter((F.col("edits") >= 0) & (F.col("edits") <= allowed)))
+    # In a text of one line it goes on in the line if it goes on at all.
+    plain = (F.col("edits") == 0) & ~F.contains("other", F.lit("\n"))
+    easy = pairs.filter(plain).select(*id_, "ended", "edits", F.expr(f"substring(other_look, letters + 1, {2 * NEXT})").alias("rest"), (F.length("other_look") - F.col("letters")).alias("more"))
+    hard = pairs.filter(~plain).select(*id_, "ended", "edits", _after("look", "other", "edits").alias("a")).select(*id_, "ended", "edits", _look(F.col("a.rest")).alias("rest"), "a.more")
+    after = cut(easy.unionByName(hard).filter("rest <> '' AND more > 2 * edits"))
     # What follows a proper end may stand in the record as a block of its own.
     lost = _nowhere_later(after.filter("ended").select(*id_, "rest").distinct(), records).select(*id_)
     return cut(after.filter(~F.col("ended")).select(*id_).unionByName(lost).distinct())
