@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import argparse
 import sys
+from importlib import import_module
 from pathlib import Path
 
 from pyspark.sql import SparkSession, functions as F
 
 from leafmill.functions.text import page_stem
-from leafmill.operators import bundle, lexical, manifest, rollup
+from leafmill.operators import bundle, lexical, manifest, rollup, vectors
 from leafmill.session import build_session
-from leafmill.sources import extractors, files
+from leafmill.sources import extractors, files, vectors as vector_file
 
 
 def _manifest(spark: SparkSession, a: argparse.Namespace) -> int:
@@ -31,18 +32,19 @@ def _manifest(spark: SparkSession, a: argparse.Namespace) -> int:
 
 
 def _run(spark: SparkSession, a: argparse.Namespace) -> int:
-    if a.runner not in extractors.EXTRACTORS:
-        print(f"unknown runner {a.runner}; there are: {', '.join(sorted(extractors.EXTRACTORS))}", file=sys.stderr)
+    if a.runner not in extractors.names():
+        print(f"unknown runner {a.runner}; there are: {', '.join(extractors.names())}", file=sys.stderr)
         return 2
+    version = a.version or extractors.VERSIONS[a.runner]()
     disk = manifest.scan_corpus(spark, a.corpus)
     if manifest.diff(files.read_manifest(spark, a.manifest), disk).head(1):
         print("the corpus differs from its manifest; see: manifest verify", file=sys.stderr)
         return 1
     old = files.read_results(spark, a.results).filter(F.col("runner") == a.runner) if a.runner in files.runners(spark, a.results) else None
     corpus = disk.select(page_stem(F.col("filename")).alias("paper_id"), "sha256", "path")
-    todo = manifest.work_list(corpus, old, a.version, a.force, a.limit) if old is not None else manifest.work_list(corpus, corpus.select("paper_id", F.col("sha256").alias("pdf_sha256"), F.lit("").alias("runner_version")), a.version, a.force, a.limit)
+    todo = manifest.work_list(corpus, old, version, a.force, a.limit) if old is not None else manifest.work_list(corpus, corpus.select("paper_id", F.col("sha256").alias("pdf_sha256"), F.lit("").alias("runner_version")), version, a.force, a.limit)
     content = spark.read.format("binaryFile").load(f"{a.corpus}/*").select("path", "content")
-    new = extractors.extract(todo.join(content, "path"), a.runner, a.version).cache()
+    new = extractors.extract(todo.join(content, "path"), a.runner, version).cache()
     for r in new.filter("error IS NOT NULL").select("paper_id", "error").toLocalIterator():
         print(f"failed: {r['paper_id']}: {r['error']}", file=sys.stderr)
     new = new.filter("error IS NULL").drop("error")
@@ -71,6 +73,14 @@ def _export(spark: SparkSession, a: argparse.Namespace) -> int:
     records = files.read_results(spark, a.results).filter(F.col("runner") == a.runner)
     head = bundle.write_bundle(records, files.read_manifest(spark, a.manifest), a.out, a.corpus, a.runner)
     print(f"{head['counts']['papers']} papers, {head['counts']['chunks']} chunks, {len(head['missing_pdfs'])} PDFs missing")
+    if a.no_embed or not a.embedder:
+        print("no vectors: search in the bundle is lexical")
+        return 0
+    module, _, name = a.embedder.partition(":")
+    embedder = getattr(import_module(module), name)
+    v = vectors.embed(bundle.numbered_chunks(spark, a.out), "text", embedder, a.dim)
+    stats = vector_file.write_vectors(v, a.out, a.model or a.embedder, "row")
+    print(f"{stats['count']} vectors, mean cosine error {stats['mean_error']:.5f}, worst cosine {stats['worst_cosine']:.4f}")
     return 0
 
 
@@ -93,7 +103,7 @@ def main(argv: list[str] | None = None) -> int:
     m.add_argument("--runner", default="pdfplumber")
     r = sub.add_parser("run")
     r.add_argument("runner")
-    r.add_argument("--version", default="1")
+    r.add_argument("--version", help="instead of what the runner's provider says")
     r.add_argument("--limit", type=int, default=0)
     r.add_argument("--force", action="store_true")
     c = sub.add_parser("compare")
@@ -104,6 +114,10 @@ def main(argv: list[str] | None = None) -> int:
     e = sub.add_parser("export")
     e.add_argument("runner")
     e.add_argument("--out", required=True)
+    e.add_argument("--no-embed", action="store_true")
+    e.add_argument("--embedder", help="module:function from a list of texts to vectors")
+    e.add_argument("--model", help="the name under which the vectors are noted")
+    e.add_argument("--dim", type=int, default=384)
     s = sub.add_parser("search")
     s.add_argument("bundle")
     s.add_argument("query")

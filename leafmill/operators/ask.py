@@ -73,6 +73,13 @@ def gate(r: dict[str, Column], origin: str) -> Column:
     )
 
 
+def reply_status(gated: Column, decision: Column, failed: Column) -> Column:
+    """HTTP status of a request that was gated (its status or null), then decided by the quota, then answered or failed by
+    a kind: 429 beyond the quota or where the model is asked too often, 500 for a key that fails, 502 for any other."""
+    model = F.when(failed.isNull(), 200).when(failed == "rate-limit", 429).when(failed.isin("auth", "no-key"), 500).otherwise(502)
+    return F.coalesce(gated, F.when(decision != "allowed", 429), model)
+
+
 def error_kind(url: Column, reached: Column, ok: Column, error: Column) -> Column:
     """What went wrong for the reader: not-configured, offline, one of three known bodies, else server; null if nothing."""
     known = error.isin("day-cap", "visitor-cap", "rate-limit")

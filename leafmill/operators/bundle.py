@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import shutil
+import warnings
 from datetime import datetime, timezone
 from pathlib import Path
 
@@ -69,36 +70,49 @@ def longest_chunks(chunks: DataFrame) -> DataFrame:
     return c.groupBy("paper_id").agg(best.alias("b")).select("paper_id", "b.*")
 
 
-def write_bundle(records: DataFrame, manifest: DataFrame, out: str, pdf_dir: str | None = None, runner: str = "") -> dict:
-    """Write papers.json, chunks.json and manifest.json, and copy the PDFs; a vector file that is there stays as it is.
+def missing_flags(papers: DataFrame, missing: list[str]) -> DataFrame:
+    """Papers with ``missing``: whether their PDF is among the bundle's missing ones."""
+    m = papers.sparkSession.createDataFrame([(f, True) for f in sorted(set(missing))], "filename string, missing boolean")
+    return papers.join(F.broadcast(m), "filename", "left").withColumn("missing", F.coalesce("missing", F.lit(False)))  # a bundle's list
+
+
+def write_bundle(records: DataFrame, manifest: DataFrame, out: str, pdf_dir: str | None = None, runner: str | None = None, corpus_id: str | None = None, name: str | None = None) -> dict:
+    """Write papers.json, chunks.json and manifest.json, and copy the PDFs to pdfs/; a vector file that is there stays as
+    it is. The corpus is named after the folder unless told otherwise.
 
     A bundle is what one browser loads: its rows pass through the driver one at a time and are streamed to the file.
     """
     folder = Path(out)
     folder.mkdir(parents=True, exist_ok=True)
     counts, files, papers = {}, {}, []
-    for name, df in (("papers", bundle_papers(records, manifest).orderBy("paper_id")), ("chunks", bundle_chunks(records).orderBy("paper_id", "id"))):
+    for table, df in (("papers", bundle_papers(records, manifest).orderBy("paper_id")), ("chunks", bundle_chunks(records).orderBy("paper_id", "id"))):
         digest, n = hashlib.sha256(), 0
-        with (folder / f"{name}.json").open("wb") as f:
+        with (folder / f"{table}.json").open("wb") as f:
             for row in df.toJSON().toLocalIterator():
                 part = (b"[" if n == 0 else b",\n") + row.encode()
                 f.write(part)
                 digest.update(part)
                 n += 1
-                if name == "papers":
+                if table == "papers":
                     papers.append(json.loads(row)["filename"])
             end = b"]" if n else b"[]"
             f.write(end)
             digest.update(end)
-        counts[name], files[f"{name}.json"] = n, digest.hexdigest()
+        counts[table], files[f"{table}.json"] = n, digest.hexdigest()
     missing = []
     for p in papers:
         if pdf_dir and (Path(pdf_dir) / p).exists():
-            (folder / "pdf").mkdir(exist_ok=True)
-            shutil.copy2(Path(pdf_dir) / p, folder / "pdf" / p)
+            (folder / "pdfs").mkdir(exist_ok=True)
+            shutil.copy2(Path(pdf_dir) / p, folder / "pdfs" / p)
         else:
             missing.append(p)
-    head = {"built_at": datetime.now(timezone.utc).isoformat(timespec="seconds"), "runner": runner, "embed_model": None, "dim": None, "counts": counts, "files": files, "missing_pdfs": missing}
+    first = records.orderBy("paper_id").select(*[c for c in ("runner", "runner_version") if c in records.columns]).head()
+    by = first.asDict() if first else {}
+    head = {
+        "corpus_id": corpus_id or folder.name, "name": name or folder.name, "built_at": datetime.now(timezone.utc).isoformat(timespec="seconds"),
+        "source_runner": runner or by.get("runner"), "runner_version": by.get("runner_version"), "embed_model": None, "dim": None,
+        "counts": counts, "files": files, "missing_pdfs": sorted(missing),
+    }
     (folder / "manifest.json").write_text(json.dumps(head, indent=2, sort_keys=True) + "\n")
     return head
 
@@ -117,3 +131,25 @@ def load_bundle(spark: SparkSession, folder: str, model: str | None = None) -> t
     else:
         status = "available" if vectors.exists() and vectors.stat().st_size == n * 4 + n * dim else "no-vectors"
     return head, papers, chunks, status
+
+
+def bundle_vectors(spark: SparkSession, folder: str, model: str | None = None) -> DataFrame | None:
+    """(chunk_id, embedding) of a bundle's chunks, the file's n-th row being the n-th chunk; None, with a warning where a
+    file is missing or of the wrong length, if search has to stay lexical."""
+    from leafmill.sources.vectors import read_vectors
+
+    head, _, _, status = load_bundle(spark, folder, model)
+    if status != "available":
+        if head.get("embed_model") == model and model is not None:
+            warnings.warn(f"{folder}/vectors.bin can't be used, search stays lexical", stacklevel=2)
+        return None
+    chunks = numbered_chunks(spark, folder)
+    rows = read_vectors(spark, f"{folder}/vectors.bin", head["counts"]["chunks"], head["dim"])
+    return chunks.join(rows, "row").select(F.col("id").alias("chunk_id"), "embedding")
+
+
+def numbered_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """(row, id, text) of a bundle's chunks with their places in chunks.json."""
+    text = spark.read.text(f"{folder}/chunks.json", wholetext=True)
+    each = text.select(F.posexplode(F.from_json("value", "array<struct<id:string,text:string>>")).alias("row", "c"))
+    return each.select(F.col("row").cast("bigint").alias("row"), "c.id", "c.text")

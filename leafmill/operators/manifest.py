@@ -32,7 +32,11 @@ def diff(manifest: DataFrame, disk: DataFrame) -> DataFrame:
 
 
 def entry(manifest: DataFrame, filename: str) -> DataFrame:
-    return manifest.filter(F.col("filename") == filename)
+    """The entry of a file; one that isn't in the manifest is an error."""
+    found = manifest.filter(F.col("filename") == filename)
+    if not found.head(1):
+        raise KeyError(f"{filename} isn't in the manifest")
+    return found
 
 
 def match_manifest(records: DataFrame, manifest: DataFrame) -> DataFrame:

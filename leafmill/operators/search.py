@@ -2,11 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Callable
+from weakref import WeakKeyDictionary
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from leafmill.operators import ask, lexical
 from leafmill.operators.bundle import hit_rows
 from leafmill.operators.vectors import cosine_topk
+from leafmill.session import cut
+
+class QueryEmbedder:
+    """A question's vector by a model that is loaded at the first question and kept; a load that failed is tried again."""
+
+    def __init__(self, load: Callable[[], Callable[[list[str]], np.ndarray]]):
+        self.load, self.model = load, None
+
+    def __call__(self, spark: SparkSession, text: str) -> DataFrame:
+        """One row with the vector of unit length."""
+        if self.model is None:
+            self.model = self.load()
+        v = np.asarray(self.model([text]), np.float64)[0]
+        return spark.createDataFrame([((v / (np.linalg.norm(v) or 1.0)).tolist(),)], "embedding array<double>")
+
+
+class IndexCache:
+    """The lexical index of each bundle, written to the shared folder once for as long as the bundle is in use."""
+
+    def __init__(self) -> None:
+        self.kept: WeakKeyDictionary[DataFrame, tuple[DataFrame, DataFrame]] = WeakKeyDictionary()
+
+    def __call__(self, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+        if chunks not in self.kept:
+            self.kept[chunks] = tuple(cut(part) for part in lexical.index(chunks, key="id"))
+        return self.kept[chunks]
+
 
 HITS = "chunk_id string, score double, mode string, rank int"
 

@@ -159,7 +159,9 @@ def ask_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
         "model_ok": F.col("request_id") % 37 != 0,
         "has_key": F.col("request_id") % 41 != 0,
     }
-    return r.select("request_id", A.gate(fields, "https://reader").alias("status"))
+    capped = F.col("outcome").isin("day-cap", "visitor-cap")
+    failed = F.when(~capped & (F.col("outcome") != "answered"), F.col("outcome"))
+    return r.select("request_id", A.reply_status(A.gate(fields, "https://reader"), F.when(capped, F.col("outcome")).otherwise("allowed"), failed).alias("status"))
 
 
 def ask_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -267,7 +269,8 @@ s AS (SELECT doc_id, 2 * unnest(range(len(t))) AS pos, 'text' AS kind, unnest(t)
 SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1)::INT AS n, kind, text, label, chunk_id FROM s WHERE kind = 'citation' OR text <> ''""",
     "ask_gate": _REQ
     + r""" SELECT request_id, CASE WHEN request_id % 13 = 0 THEN 204 WHEN request_id % 19 = 0 THEN 403 WHEN request_id % 17 = 0 THEN 405 WHEN request_id % 23 = 0 THEN 404 WHEN request_id % 29 = 0 THEN 400
-  WHEN length(coalesce(trim(question), '')) = 0 OR length(trim(question)) > 500 THEN 400 WHEN request_id % 31 = 0 THEN 400 WHEN request_id % 37 = 0 THEN 500 WHEN request_id % 41 = 0 THEN 500 END AS status FROM r""",
+  WHEN length(coalesce(trim(question), '')) = 0 OR length(trim(question)) > 500 THEN 400 WHEN request_id % 31 = 0 THEN 400 WHEN request_id % 37 = 0 THEN 500 WHEN request_id % 41 = 0 THEN 500
+  WHEN outcome IN ('day-cap', 'visitor-cap', 'rate-limit') THEN 429 WHEN outcome IS NULL OR outcome = 'answered' THEN 200 WHEN outcome IN ('auth', 'no-key') THEN 500 ELSE 502 END AS status FROM r""",
     "ask_errors": _REQ + " SELECT CASE WHEN request_id % 11 = 0 THEN 'offline' WHEN outcome = 'answered' THEN NULL WHEN outcome IN ('day-cap', 'visitor-cap', 'rate-limit') THEN outcome ELSE 'server' END AS kind, count(*) AS n FROM r GROUP BY 1",
     "quota_decisions": _QUOTA + " SELECT * FROM g",
     "quota_days": _QUOTA + """ SELECT day, count(*) FILTER (WHERE decision = 'allowed') AS allowed, count(*) FILTER (WHERE decision = 'day-cap') AS "day-cap", count(*) FILTER (WHERE decision = 'visitor-cap') AS "visitor-cap" FROM g GROUP BY 1""",

@@ -15,7 +15,7 @@ REGION = "STRUCT<page: INT, rects: ARRAY<ARRAY<DOUBLE>>>"
 BUNDLE_PAPER = "paper_id STRING, filename STRING, pages INT, sha256 STRING"
 BUNDLE_CHUNK = f"id STRING, paper_id STRING, section STRING, text STRING, chars INT, regions ARRAY<{REGION}>"
 BUNDLE_MANIFEST = (
-    "built_at STRING, runner STRING, embed_model STRING, dim INT, counts STRUCT<papers: INT, chunks: INT>, "
+    "corpus_id STRING, name STRING, built_at STRING, source_runner STRING, runner_version STRING, embed_model STRING, dim INT, counts STRUCT<papers: INT, chunks: INT>, "
     "files MAP<STRING, STRING>, missing_pdfs ARRAY<STRING>"
 )
 

@@ -41,10 +41,17 @@ def write_results(records: DataFrame, folder: str) -> None:
 
 
 def write_results_jsonl(records: DataFrame, folder: str) -> None:
-    """One <runner>.jsonl for each runner, streamed by paper; runners without records keep theirs."""
+    """One <runner>.jsonl for each runner, streamed; runners without records keep theirs. Papers that the old file has keep
+    their places there, new ones follow by name."""
     Path(folder).mkdir(parents=True, exist_ok=True)
     for (runner,) in records.select("runner").distinct().orderBy("runner").collect():
-        rows = records.filter(F.col("runner") == runner).orderBy("paper_id")
+        slots: dict[str, int] = {}
+        if Path(f"{folder}/{runner}.jsonl").exists():
+            with open(f"{folder}/{runner}.jsonl") as old:
+                for line in filter(str.strip, old):
+                    slots.setdefault(json.loads(line).get("paper_id"), len(slots))
+        place = records.sparkSession.createDataFrame(list(slots.items()), "paper_id string, slot bigint")
+        rows = records.filter(F.col("runner") == runner).join(place, "paper_id", "left").orderBy(F.asc_nulls_last("slot"), "paper_id").drop("slot")
         with open(f"{folder}/{runner}.jsonl", "w") as f:
             for line in rows.toJSON().toLocalIterator():
                 f.write(line + "\n")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from math import floor
 from statistics import median
 
 from leafmill.functions.text import SECTION_NAMES
@@ -25,6 +26,22 @@ def kind_of(text: str) -> str:
     return "section_header" if named or m and n <= 8 and not bare.endswith(".") or n <= 6 and bare.isupper() and len(bare) > 2 else "paragraph"
 
 
+def lines_of_items(items: list[dict], height: float) -> list[dict]:
+    """A page's text items (x, baseline, width, height, text; bottom-up) as lines (text, bbox; top-down)."""
+    rows: dict[int, list[tuple]] = {}
+    for i in items:
+        if i["text"].strip():
+            top = height - i["baseline"] - i["height"]
+            rows.setdefault(floor(top / LINE_BUCKET + 0.5), []).append((i["x"], top, i["x"] + i["width"], top + i["height"], i["text"]))
+    out = []
+    for _, row in sorted(rows.items()):
+        row.sort(key=lambda r: r[0])
+        text = " ".join(" ".join(r[4] for r in row).split())
+        if text:
+            out.append({"text": text, "bbox": [min(r[0] for r in row), min(r[1] for r in row), max(r[2] for r in row), max(r[3] for r in row)]})
+    return out
+
+
 def blocks_of_words(words: list[dict], page: int) -> list[dict]:
     """A page's words as blocks."""
     rows: dict[int, list[dict]] = {}
@@ -34,8 +51,13 @@ def blocks_of_words(words: list[dict], page: int) -> list[dict]:
     for _, row in sorted(rows.items()):
         row.sort(key=lambda w: w["x0"])
         text = " ".join(w["text"] for w in row)
-        if text.strip():
-            lines.append((text.strip(), [min(w["x0"] for w in row), min(w["top"] for w in row), max(w["x1"] for w in row), max(w["bottom"] for w in row)], kind_of(text)))
+        lines.append({"text": text, "bbox": [min(w["x0"] for w in row), min(w["top"] for w in row), max(w["x1"] for w in row), max(w["bottom"] for w in row)]})
+    return blocks_of_lines(lines, page)
+
+
+def blocks_of_lines(rows: list[dict], page: int) -> list[dict]:
+    """A page's lines (text, bbox) as blocks."""
+    lines = [(r["text"].strip(), r["bbox"], kind_of(r["text"])) for r in rows if r["text"].strip()]
     limit = GAP_FACTOR * median(b[3] - b[1] for _, b, _ in lines) if lines else DEFAULT_GAP
     groups: list[list] = []
     for line in lines:
