@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 
 from leafmill.llm.repeats import repeated_places, without_repeated_lines
-from leafmill.session import one_per_key, table
+from leafmill.session import drop_redelivered, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -12,7 +12,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All blocks without the lines of p1_found."""
-    return without_repeated_lines(one_per_key(table(spark, sf_dir, "ir_records").select("record_id", "source", "paper_id", "blocks"), "record_id"))
+    return without_repeated_lines(drop_redelivered(table(spark, sf_dir, "ir_records").select("record_id", "source", "paper_id", "blocks", "loaded_at"), "record_id", "loaded_at"))
 
 
 QUERIES = {"p1_found": p1_found, "p1_blocks": p1_blocks}
