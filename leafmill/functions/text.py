@@ -10,7 +10,8 @@ SECTION_NAMES = (
     "results and discussion", "discussion", "conclusion", "conclusions", "references", "acknowledgements",
     "acknowledgments",
 )
-#: The six sections every paper should have, and how their headers read.
+#: The six sections every paper should have, and how their headers read; in alphabetical order, as the
+#: missing ones are listed.
 SECTION_PATTERNS = {
     "abstract": "abstract",
     "discussion": "discussion",

@@ -52,7 +52,7 @@ def format_cell(value, digits: int = 3) -> str:
     return f"{value:.{digits}f}" if isinstance(value, float) else str(value)
 
 
-#: Columns of the report's main table: heading, field, digits.
+#: The headings of the report's main table, which readers of the report rely on, with field and digits.
 COLUMNS = [
     ("papers", "papers", 0), ("cov. papers", "covered_papers", 0), ("cov. mean-of-medians", "coverage", 3),
     ("dropped pages", "dropped_pages", 0), ("chars", "chars", 0), ("order monotonic", "order_monotonic", 3),

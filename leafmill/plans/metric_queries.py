@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leafmill.functions.text import SECTION_NAMES, classify, parse_number
+from leafmill.functions.text import SECTION_NAMES, SECTION_PATTERNS, classify, parse_number
 from leafmill.operators import metrics, records as R
 from leafmill.session import table
 
@@ -139,12 +139,11 @@ se AS (SELECT *, abs(summed - printed) <= greatest(abs(printed) * 0.01, 0.01) AS
   UNION ALL SELECT runner, paper_id, table_idx, page, 'col', r, c, col_sum, value FROM ts WHERE col_total AND value IS NOT NULL AND col_n >= 2)),
 ar AS (SELECT runner, paper_id, coalesce(checked, 0) AS checked, coalesce(passed, 0) AS passed, passed / nullif(checked, 0) AS pass_rate, failures FROM cur LEFT JOIN
   (SELECT runner, paper_id, count(*) AS checked, count(*) FILTER (WHERE ok) AS passed, least(count(*) FILTER (WHERE NOT ok), 20)::INT AS failures FROM se GROUP BY ALL) USING (runner, paper_id))"""
-_PATTERNS = {"abstract": "abstract", "discussion": "discussion", "introduction": "introduction", "methods": "methods|methodology|materials and methods", "references": "references|bibliography|literature cited", "results": "results"}
 #: A word border where letters of all scripts, figures and _ are word characters.
-_COUNTS = ", ".join(rf"len(list_filter(h, lambda t: coalesce(regexp_matches(lower(t), '(^|[^\p{{L}}\p{{M}}\p{{N}}_])({p})($|[^\p{{L}}\p{{M}}\p{{N}}_])'), false)))::INT AS {n}_headers" for n, p in _PATTERNS.items())
+_COUNTS = ", ".join(rf"len(list_filter(h, lambda t: coalesce(regexp_matches(lower(t), '(^|[^\p{{L}}\p{{M}}\p{{N}}_])({p})($|[^\p{{L}}\p{{M}}\p{{N}}_])'), false)))::INT AS {n}_headers" for n, p in SECTION_PATTERNS.items())
 STRUCTURE = CURRENT + f""",
-sp AS (SELECT *, {' + '.join(f'({n}_headers = 1)::INT' for n in _PATTERNS)} AS found_exactly_once,
-  list_filter([{', '.join(f"CASE WHEN {n}_headers = 0 THEN '{n}' END" for n in _PATTERNS)}], lambda x: x IS NOT NULL) AS missing FROM (
+sp AS (SELECT *, {' + '.join(f'({n}_headers = 1)::INT' for n in SECTION_PATTERNS)} AS found_exactly_once,
+  list_filter([{', '.join(f"CASE WHEN {n}_headers = 0 THEN '{n}' END" for n in SECTION_PATTERNS)}], lambda x: x IS NOT NULL) AS missing FROM (
   SELECT runner, paper_id, len(h)::INT AS section_headers, {_COUNTS} FROM (
     SELECT runner, paper_id, list_transform(list_filter(coalesce(blocks, []), lambda b: b.kind = 'section_header'), lambda b: b.text) AS h FROM cur)))"""
 ORDERED = BLOCKS + """,

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import shutil
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -61,21 +63,23 @@ def read_vectors(spark: SparkSession, path: str, rows: int, dim: int) -> DataFra
 
 def write_vectors(vectors: DataFrame, folder: str, model: str, key: str = "vec_id", v: str = "embedding") -> dict:
     """Write vectors.bin in order of the key and note model and dimension in the bundle's manifest. The codes are made by
-    the executors and streamed; the file is what one reader loads."""
+    the executors and streamed to the file, which is what one reader loads."""
     path, head = Path(folder) / "vectors.bin", Path(folder) / "manifest.json"
     rows = vectors.select(key, scale(F.col(v)).alias("s"), quantize(F.col(v)).alias("q")).orderBy(key)
-    scales, codes, dim = bytearray(), bytearray(), 0
-    for r in rows.toLocalIterator():
-        scales += np.float32(r["s"]).tobytes()
-        codes += np.array(r["q"], np.int8).tobytes()
-        dim = len(r["q"])
-    path.write_bytes(bytes(scales + codes))
+    count, dim, part = 0, 0, path.with_suffix(".codes")
+    with path.open("wb") as scales, part.open("wb") as codes:
+        for r in rows.toLocalIterator():
+            scales.write(np.float32(r["s"]).tobytes())
+            codes.write(np.array(r["q"], np.int8).tobytes())
+            count, dim = count + 1, len(r["q"])
+    with path.open("ab") as whole, part.open("rb") as codes:
+        shutil.copyfileobj(codes, whole)
+    part.unlink()
     error = quantization_error(vectors, v).head()
     if head.exists():
         m = json.loads(head.read_text())
         m |= {"embed_model": model, "dim": dim}
-        import hashlib
-
-        m["files"]["vectors.bin"] = hashlib.sha256(path.read_bytes()).hexdigest()
+        with path.open("rb") as f:
+            m["files"]["vectors.bin"] = hashlib.file_digest(f, "sha256").hexdigest()
         head.write_text(json.dumps(m, indent=2, sort_keys=True) + "\n")
-    return {"count": len(scales) // 4, "dim": dim, "bytes": len(scales) + len(codes), "mean_error": error["mean_error"], "worst_cosine": error["worst_cosine"]}
+    return {"count": count, "dim": dim, "bytes": count * (4 + dim), "mean_error": error["mean_error"], "worst_cosine": error["worst_cosine"]}
