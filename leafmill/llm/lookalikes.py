@@ -23,12 +23,16 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from leafmill.session import cut
 
-SCRIPTS = ("Latin", "Cyrillic", "Greek")
+SCRIPTS = ("Latin", "Cyrillic", "Greek", "Armenian", "Cherokee")
 #: Letters of other scripts that look like the Latin letter under them.
 CYRILLIC = "аеорсухіјѕһԁԛԝӏАВЕЅІЈКМНОРСТУХԚԜ"
 CYRILLIC_AS = "aeopcyxijshdqwlABESIJKMHOPCTYXQW"
 GREEK = "ονρϳΑΒΕΖΗΙΚΜΝΟΡΤΥΧ"
 GREEK_AS = "ovpjABEZHIKMNOPTYX"
+ARMENIAN = "օսհոցզյՕՍԼՏ"
+ARMENIAN_AS = "ouhngqjOULS"
+CHEROKEE = "ᎠᎡᎢᎥᎪᎫᎬᎳᎷᎻᏀᏃᏚᏙᏞᏟᏢᏦᏴ"
+CHEROKEE_AS = "DRTiAJEWMHGZSVLCPKB"
 #: Compatibility forms that differ from their plain form only in encoding, not in look.
 SAME_LOOK = ("<wide>", "<narrow>", "<noBreak>", "<compat>")
 HYPHENS = "‐‑"
@@ -36,7 +40,7 @@ HYPHENS = "‐‑"
 JOINING = r"[\p{Arabic}\p{Devanagari}\p{Bengali}\p{Gurmukhi}\p{Gujarati}\p{Tamil}\p{Telugu}\p{Kannada}\p{Malayalam}\p{Sinhala}]"
 
 SPELLINGS: dict[str, dict[str, str]] = {}
-for _script, _letters, _as in (("Cyrillic", CYRILLIC, CYRILLIC_AS), ("Greek", GREEK, GREEK_AS)):
+for _script, _letters, _as in (("Cyrillic", CYRILLIC, CYRILLIC_AS), ("Greek", GREEK, GREEK_AS), ("Armenian", ARMENIAN, ARMENIAN_AS), ("Cherokee", CHEROKEE, CHEROKEE_AS)):
     for _a, _b in zip(_letters, _as):
         SPELLINGS.setdefault(_b, {"Latin": _b})[_script] = _a
 for _spelled in list(SPELLINGS.values()):
@@ -82,7 +86,7 @@ def _votes():
 
     shared = "".join(sorted(SPELLINGS))
     own = {s: regex.compile(rf"[\p{{{s}}}--[{shared}]]", regex.V1) for s in SCRIPTS}
-    letter = r"[\p{Latin}\p{Cyrillic}\p{Greek}\p{M}]*"
+    letter = "[" + "".join(rf"\p{{{s}}}" for s in SCRIPTS) + r"\p{M}]*"
     foreign = {s: regex.compile(letter + "[" + "".join(rf"\p{{{o}}}" for o in SCRIPTS if o != s) + "]" + letter) for s in SCRIPTS}
     return own, foreign
 
@@ -121,10 +125,10 @@ _PLAIN = _Plain()
 @lru_cache(1)
 def _touched():
     """A pattern of the characters that can make a text differ from its one form: all but ASCII and those that are
-    their own plain form. Greek and Cyrillic always count, since they bear on how ambiguous letters are resolved."""
+    their own plain form. Scripts beside Latin always count, since they bear on how ambiguous letters are resolved."""
     import regex
 
-    voters = regex.compile(r"[\p{Cyrillic}\p{Greek}\p{M}\p{Default_Ignorable_Code_Point}\p{Cn}\p{Co}]")
+    voters = regex.compile("[" + "".join(rf"\p{{{s}}}" for s in SCRIPTS[1:]) + r"\p{M}\p{Default_Ignorable_Code_Point}\p{Cn}\p{Co}]")
     own = lambda c: unicodedata.normalize("NFC", "".join(map(_plain, unicodedata.normalize("NFD", c)))) == c
     plain = [n for n in (*range(0x80, 0xD800), *range(0xE000, 0x10000)) if not voters.match(chr(n)) and own(chr(n))]
     runs, begin = [], None

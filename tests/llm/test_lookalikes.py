@@ -61,3 +61,11 @@ def test_pairs(records):
 def test_column_keeps_null_and_long_texts(spark):
     d = spark.createDataFrame([(None,), ("",), ("plain",), ("о" * 100_000 + "z",)], "t STRING")
     assert [r[0] for r in d.select(L.one_form(F.col("t"))).collect()] == [None, "", "plain", "o" * 100_000 + "z"]
+
+
+def test_scripts_beside_the_planted_ones():
+    from leafmill.llm.lookalikes import canonical
+
+    assert canonical("The ᏢᎪᎡᎢ of the rеасtօr") == "The PART of the reactor"
+    assert canonical("LS մեկ երկու") == canonical("ԼՏ մեկ երկու") == "ԼՏ մեկ երկու"
+    assert canonical("մի հոսք") == "մի հոսք"
