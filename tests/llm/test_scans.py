@@ -134,3 +134,17 @@ def test_fragments_of_cut_words_are_not_misread(case):
     cut = F.transform("blocks", lambda b: b.withField("text", F.when((b["kind"] == "paragraph") & (b["page"] == 3), F.regexp_replace(b["text"], r"\S{3}\.$", "")).otherwise(b["text"])))
     got = {(x.record_id, x.block_order) for x in noise(r.filter("record_id = 0").withColumn("blocks", cut).unionByName(r.filter("record_id <> 0")), m).collect() if x.noise == "misread"}
     assert got <= {(x.record_id, x.block_order) for x in noise(r, m).collect() if x.noise == "misread"}
+
+
+def test_no_join_is_left_to_a_guess_of_sizes(case, monkeypatch):
+    r, m, _ = case
+    plans, cut = [], scans.cut
+
+    def noted(df):
+        plans.append(df)
+        return cut(df)
+
+    monkeypatch.setattr(scans, "cut", noted)
+    plans += [noise(r, m), paragraphs(r, m)]
+    joins = [line.strip() for df in plans for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in line]
+    assert len(joins) > 30 and [j for j in joins if "strategy=" not in j] == []
