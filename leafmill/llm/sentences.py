@@ -51,6 +51,8 @@ STEPS, ROUNDS, INNER, SHRINK, STARTS, MIXED = 5, 4, 20, 1.5, 5.0, 0.03
 ENOUGH, STRAY = 200.0, 0.03
 #: Rows of a word table that a worker keeps in memory, the most frequent; the others come to their places by a join.
 MODEL_ROWS = 200_000
+#: Places of each kind by which models are taught the rule of spaces.
+SPACES = 20.0
 #: Distinct keys a task keeps before it hands on its counts, or that a worker remembers.
 FLUSH = 300_000
 #: Upper bounds, in characters, of the classes of sentence lengths.
@@ -201,13 +203,17 @@ def places(par: str, pre: str, marks: Iterable | None = None) -> list[tuple[int,
 
 
 def all_places(par: str) -> list[tuple[int, str, str]]:
-    """``places``, or those of a paragraph whose script ends its sentences with spaces: there each space is one, its right
-    word the sign of whether a figure stands beside it."""
+    """``places``, or those of a paragraph whose script ends its sentences with spaces: there each space is one, its words
+    the signs of whether figures stand beside it."""
     of = script(par)
     if of != "thai":
         return places(par, "\x03" if of == "caseless" else "")
-    near = lambda m: par[m.start() - 1].isdigit() or par[m.end() : m.end() + 1].isdigit()
-    return [(m.start(), SPACE, "#" if near(m) else "o") for m in re.finditer(r"[^\S\r\n]+", par)]
+    return [(m.start(), SPACE + _figured(par[m.start() - 1]), _figured(par[m.end() : m.end() + 1])) for m in re.finditer(r"[^\S\r\n]+", par)]
+
+
+def _figured(c: str) -> str:
+    """The class of a word beside a space that may end a sentence: figure or other."""
+    return "#" if c.isdigit() else "o"
 
 
 def length_class(n: int, w: str) -> int:
@@ -235,6 +241,10 @@ class Counts:
             par = text[a:b]
             of = script(par)
             if of == "thai":
+                spots = all_places(par)
+                self.pairs.update(("\x00spaces", w[-1] + r) for _, w, r in spots)
+                if spots:  # else it may be a heading
+                    self.pairs.update((("\x00end", _figured(par[-1])), ("\x00start", _figured(par[0]))))
                 continue
             group = of == "caseless"
             tokens = par.split() if par.isascii() or not _IDEOGRAPH.search(par) else _TOKEN.findall(par)
@@ -304,13 +314,14 @@ class Model:
 
     def __init__(self, steps: dict[str, int], by_kind: dict[str, int], index: dict[str, int], lefts: dict[str, int], odds: np.ndarray, by_left: dict[str, np.ndarray], length: list[float]):
         self.steps, self.by_kind, self.index, self.lefts, self.table, self.by_left, self.length = steps, by_kind, index, lefts, odds, by_left, length
+        self.spaces = fit_spaces({})
         self.rest: tuple[DataFrame, DataFrame] | bool | None = None
         self.memo: dict[tuple[str, str], float] = {}
 
     def odds(self, w: str, r: str, step: int | None = None, own: np.ndarray | None = None) -> float:
         """Log-odds of an event between w and r; ``step`` and ``own`` are theirs if they aren't in this worker's tables."""
-        if w == SPACE:  # the stated rule: a space ends a sentence unless it stands next to a figure
-            return -30.0 if r == "#" else 30.0
+        if w[:-1] == SPACE:
+            return self.spaces[w[-1] + r]
         k = kind(r)
         usual = self.by_kind.get(k, 0)
         at = self.index.get(f"{k}{self.steps.get(r, usual) if step is None else step}")
@@ -335,7 +346,7 @@ class Model:
 
     def unknown(self, w: str, r: str) -> bool:
         """Whether a table outside this worker may know more of a place."""
-        return self.rest is not None and w != SPACE and (w not in self.lefts or r not in self.steps)
+        return self.rest is not None and w[:-1] != SPACE and (w not in self.lefts or r not in self.steps)
 
     def boundaries(self, par: str, spots: list[tuple[int, str, str]] | None = None, odds: list[float] | None = None) -> list[int]:
         """Ends of the sentences of a paragraph, by forward-backward over its places and their log-odds."""
@@ -346,7 +357,7 @@ class Model:
         odds = [exp(min(max(x, -30), 30)) for x in (odds or [self.odds(w, r) for _, w, r in spots])]
         # pair[i]: weight of an event at i if there was one at i - 1 (or the paragraph began there).
         ends = [0, *[e for e, _, _ in spots]]
-        pair = [self.length[length_class(b - a, w)] for a, b, (_, w, _) in zip(ends, ends[1:], spots)]
+        pair = [1.0 if w[:-1] == SPACE else self.length[length_class(b - a, w)] for a, b, (_, w, _) in zip(ends, ends[1:], spots)]
         forward = []
         no, yes = 0.0, 1.0
         for i in range(n):
@@ -435,6 +446,28 @@ def fit_events(c: np.ndarray, start: np.ndarray, inside: np.ndarray, prior: np.n
     return best[1:]
 
 
+def fit_spaces(counts: dict[tuple[str, str], int]) -> dict[str, float]:
+    """Log-odds of an event at a space, in scripts that end sentences with spaces, by the classes of its two words.
+
+    Sentences end and start as paragraphs do, which is counted; what stands around other spaces, and the share of events,
+    come by EM. Every model is also taught SPACES places of each kind as the stated rule has them: a space ends a
+    sentence unless it stands next to a figure. They decide where the corpus says little.
+    """
+    kinds = [a + b for a in "o#" for b in "o#"]
+    n = np.array([counts.get(("\x00spaces", k), 0) for k in kinds], float)
+    event = np.array([float(k == "oo") for k in kinds])
+    share = lambda of: (lambda o, f: {"o": (o + SPACES) / (o + f + SPACES + 0.5), "#": (f + 0.5) / (o + f + SPACES + 0.5)})(*(counts.get((of, c), 0) for c in "o#"))
+    end, start = share("\x00end"), share("\x00start")
+    shown = np.array([end[a] * start[b] for a, b in kinds])
+    resp = event
+    for _ in range(INNER):
+        p = (n @ resp + SPACES * event.sum() + 0.5) / (n.sum() + SPACES * len(kinds) + 1)
+        q = n * (1 - resp) + SPACES * (1 - event) + 0.5
+        odds = np.log(p * shown / ((1 - p) * q / q.sum()))
+        resp = 1 / (1 + np.exp(-odds))
+    return dict(zip(kinds, odds.tolist()))
+
+
 def train(texts: DataFrame, column: str = "text") -> Model:
     """The model of all texts: one counting pass, then EM on the counts."""
     texts = texts.filter(F.col(column).isNotNull()).select(column)
@@ -533,6 +566,7 @@ def train(texts: DataFrame, column: str = "text") -> Model:
         both, every = lengths.get(("\x00both", str(g)), 0), lengths.get(("\x00all", str(g)), 0)
         length.append(min(1.0, (both + 0.5) / (n_both + 1) / ((every + 0.5) / (n_all + 1))))
     model = Model(steps, by_kind, index, {w: i for i, w in enumerate(events["w"].to_pylist())}, table, class_odds, length)
+    model.spaces = fit_spaces(lengths)
     if more_steps.head(1) or more_lefts.head(1):
         model.rest = more_steps, more_lefts
     return model

@@ -112,3 +112,14 @@ def test_rare_strays_among_many_places_change_nothing():
 
 def test_marks_that_need_no_space_may_stand_before_figures(model):
     assert [m for m, _, _ in S.all_places("它降低了浊度。2023年它上升了。浊度为３．５。")] == [7, 17]
+
+
+def test_odds_of_spaces_are_learned(spark):
+    text = "ถังลดความขุ่น สายพันธุ์เพิ่ม 46 เปอร์เซ็นต์ แผ่นกรอง"
+    m = S.train(spark.createDataFrame([(text,)] * 40, "text STRING"))
+    counts = {("\x00spaces", "oo"): 80, ("\x00spaces", "o#"): 40, ("\x00spaces", "#o"): 40, ("\x00start", "o"): 40, ("\x00end", "o"): 40}
+    assert m.spaces == S.fit_spaces(counts) != S.fit_spaces({})
+    w, r = S.all_places(text)[0][1:]
+    assert m.odds(w, r) == m.spaces["oo"] > 0 > m.spaces["o#"]
+    figures = {**counts, ("\x00start", "o"): 10, ("\x00start", "#"): 30}
+    assert S.fit_spaces(figures)["o#"] > S.fit_spaces(counts)["o#"] and S.fit_spaces(figures)["oo"] < S.fit_spaces(counts)["oo"]
